@@ -11,7 +11,7 @@ def parse_gtf(lines: DataFrame, column: str = "value") -> DataFrame:
     Blank lines, comments and lines with fewer than nine fields are skipped.
     """
     text = lines.where((F.trim(column) != "") & ~F.col(column).startswith("#")).select(F.split(F.rtrim(column), "\t").alias("f")).where(F.size("f") >= 9)
-    parts = F.filter(F.transform(F.split(F.col("f")[8], ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.col("f")[8], ";"), lambda x: F.trim(x)), lambda x: x != "")
     pair = lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1), F.trim(F.regexp_replace(x, r'^\S+\s*|"', "")))
     f = F.col("f")
     return text.select(
