@@ -32,6 +32,15 @@ CANDIDATE = rf"(?<![{_RUN}])(?=[{_RUN}]{{16}})(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
 RATIO = 12.0
+# Words of ordinary identifiers, beside those of the corpus.
+WORDS = """account action array batch buffer cache callback channel client column command config content context
+controller count current data database default delete description device document element error event example factory
+field file filter function group handler header height image index input instance iterator key language length level
+library list listener local manager map message method model module name network node number object offset option order
+output package page parameter parser password path pattern point position process property provider query queue record
+reference request resource response result return root schema script search section select server service session
+setting source state status stream string style system table target task template test text thread time token type
+update user utility value version view width window worker""".split()
 
 
 def _pair_counts(strings: DataFrame) -> dict[tuple[str, str], int]:
@@ -55,6 +64,8 @@ def labelled_samples(docs: DataFrame, most_docs: int = 300) -> tuple[DataFrame,
     words = docs.where(draw < (most_docs / total if total else 1.0)).select(
         F.expr("slice(array_distinct(regexp_extract_all(text, '[A-Za-z]{4,}', 0)), 1, 60)").alias("w")
     )
+    fixed = [WORDS[k:] + WORDS[:k] for k in range(0, len(WORDS), 7)]
+    words = words.unionByName(spark.createDataFrame([(w,) for w in fixed], "w array<string>"))
     pair = words.where(F.size("w") > 1).select(F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> struct(w[i - 1] AS a, w[i] AS b))")).alias("p"))
     a, b = F.col("p.a"), F.col("p.b")
     styles = F.array(
