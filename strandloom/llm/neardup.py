@@ -213,18 +213,19 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked (exact), and for large pairs the prefix of a in b's order."""
+    """a, b, linked (exact), a's size, and for large pairs the prefix of a in b's order."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "large", "sa", "sb")
 
     def run(batches):
         for batch in batches:
-            linked, prefix = [], []
+            linked, prefix, sizes = [], [], []
             for large, ra, rb in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 x, y = np.frombuffer(ra, np.uint64), np.frombuffer(rb, np.uint64)
                 common = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
                 shared = int(common.sum())
+                sizes.append(len(x))
                 linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
                 if large:
                     # The other set must share one of these: all but what may be missing, and one.
@@ -234,11 +235,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 else:
                     prefix.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["a", "b", "large", "linked", "prefix"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["a", "b", "large", "linked", "n", "prefix"],
             )
 
-    return both.mapInArrow(run, "a long, b long, large boolean, linked boolean, prefix array<long>")
+    return both.mapInArrow(run, "a long, b long, large boolean, linked boolean, n long, prefix array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,9 +272,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = stats.where("c = 2").select(F.col("high").alias("a"), F.col("low").alias("b"), F.lit(False).alias("large"))
     members = cut(buckets.join(stats.where("c > 2").select("bucket", "c"), "bucket"), "members")
     popular = members.groupBy("id").agg(F.sum("c").alias("popular"))
-    centres = cut(members.join(popular, "id").groupBy("bucket").agg(F.max_by("id", F.struct("popular", -F.col("id"))).alias("centre")), "centres")
-    placed = cut(members.join(centres, "bucket"), "placed")
-    star = placed.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), (F.col("c") > LARGE).alias("large"))
+    ranked = cut(members.join(popular, "id"), "ranked")
+    centres = ranked.groupBy("bucket").agg(F.max("c").alias("c"), F.max_by("id", F.struct("popular", -F.col("id"))).alias("centre"), F.max("popular").alias("top"))
+    centres = cut(centres, "centres")
+    placed = cut(ranked.select("bucket", "id", "c").join(centres.select("bucket", "centre", "top"), "bucket"), "placed")
+    # The large buckets of one family share a centre: each centre hands on to the most popular
+    # centre that it meets in its own buckets, twice.
+    upper = cut(placed.where(F.col("c") > LARGE).groupBy("id").agg(F.max_by("centre", F.struct("top", -F.col("centre"))).alias("up")), "upper")
+    heads = centres.where(F.col("c") > LARGE).select("bucket", "centre")
+    for _ in range(2):
+        heads = heads.join(upper.select(F.col("id").alias("centre"), "up"), "centre", "left").select("bucket", F.coalesce("up", "centre").alias("centre"))
+    heads = cut(heads, "heads")
+    large = placed.where(F.col("c") > LARGE).select("bucket", "id").join(heads, "bucket").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    star = placed.where(F.col("id") != F.col("centre")).select(F.col("id").alias("a"), F.col("centre").alias("b"), F.lit(False).alias("large"))
+    # The head itself stays among the large rows: others are compared with its prefix too.
+    star = star.unionByName(large.withColumn("large", F.lit(True)))
     star = pairs.unionByName(star).groupBy("a", "b").agg(F.max("large").alias("large"))
     tried = cut(plausible(star, classes, percent), "pairs")
 
@@ -282,7 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return cut(full_sets(docs, ids.join(classes.select("id", "key"), "id"), width), "sets")
 
     first = cut(confirm(tried, sets_of(tried), percent), "links")
-    links = first.where("linked").select("a", "b")
+    links = first.where("linked AND a <> b").select("a", "b")
     labels = components(links)
     label = labels.select(F.col("node").alias("id"), "component")
 
@@ -292,12 +305,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     small = cut(with_label.where(F.col("c") <= LARGE).join(mixed, "bucket").select("bucket", "id", "component", "centre"), "apart")
     other = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
     near = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), "centre").join(other, "bucket").where("a < b AND ca <> cb AND a <> centre AND b <> centre").select("a", "b")
-    stems = first.where("large").select(F.col("a").alias("id"), F.col("b").alias("centre"), F.explode("prefix").alias("stem"))
-    stems = stems.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = first.where("large").select(F.col("a").alias("id"), F.col("b").alias("centre"), "n", "prefix")
+    rows = rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = rows.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("centre")
+    stems = rows.join(split, "centre").select("centre", "id", "n", "component", F.posexplode("prefix").alias("at", "stem"))
     groups = stems.groupBy("centre", "stem").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("centre", "stem")
     stems = cut(stems.join(groups, ["centre", "stem"]), "stems")
-    other = stems.select("centre", "stem", F.col("id").alias("b"), F.col("component").alias("cb"))
-    far = stems.select("centre", "stem", F.col("id").alias("a"), F.col("component").alias("ca")).join(other, ["centre", "stem"]).where("a < b AND ca <> cb").select("a", "b")
+    one, two = (stems.select("centre", "stem", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component", "at"))) for side in "ab")
+    # Sizes must be near enough, and what follows the shared stem long enough for the overlap.
+    fits = f"""id_a < id_b AND component_a <> component_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
+        AND {100 + percent} * (least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) >= {percent} * (n_a + n_b)"""
+    far = one.join(two, ["centre", "stem"]).where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     rest = near.unionByName(far).distinct().withColumn("large", F.lit(False))
     rest = cut(plausible(rest, classes, percent), "rest")
     if not rest.isEmpty():
