@@ -96,7 +96,7 @@ class TrieEncoder:
     is kept on a stack, cut back to the common prefix, and only nodes that are new need a token.
     """
 
-    def __init__(self, merges: Merges, end: str, most_nodes: int = 600_000):
+    def __init__(self, merges: Merges, end: str, most_nodes: int = 400_000):
         self.m = merges
         vocab = merges.vocab
         self.inner = {t: k for t, k in vocab.items() if not t.endswith(end)}
@@ -158,7 +158,7 @@ class TrieEncoder:
 class WordCoder:
     """Normalises, splits, encodes and decodes whole texts as the vocabulary file prescribes."""
 
-    def __init__(self, json_path: str, cache: int = 600_000):
+    def __init__(self, json_path: str, cache: int = 450_000):
         import regex
 
         with open(json_path, encoding="utf-8") as f:
