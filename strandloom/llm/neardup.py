@@ -11,8 +11,10 @@
 4.  Candidate pairs whose joint maximum-likelihood estimate is far below the threshold go; the
     others are confirmed on the full sets of shingles.
 5.  What the centres left apart is tried exactly: in a small bucket, all pairs of different
-    components; in a large one, pairs that share a shingle of their prefixes (prefix filtering,
-    with the centre's shingles last in the order), which loses no pair above the threshold.
+    components; in a large one, every member is taken as its symmetric difference from the
+    centre.  Two sets differ by what their differences from the centre do not share, so pairs
+    that share nothing there are similar only if both are linked to the centre already, and the
+    others meet on a shingle of their differences' prefixes.  No pair above the threshold is lost.
 6.  Components are the least reachable ids, by minimum labels with pointer jumping.
 
 Nothing is collected to the driver but flags that end loops; hot keys are pre-aggregated, or meet
@@ -40,6 +42,8 @@ RATE = 20.0
 TOP = 65535
 #: Buckets of more members are searched by prefixes instead of pair by pair.
 LARGE = 48
+#: Tasks that share the members of one centre.
+SALTS = 64
 #: Standard errors below the threshold at which an estimate rules a pair out.
 SURE = 5.0
 
@@ -213,14 +217,19 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked (exact), a's size, and for large pairs the prefix of a in b's order."""
+    """a, b, linked (exact), a's size, and for large pairs how far a is from b, and the prefix of that.
+
+    ``far`` counts the shingles that a and b do not share, ``prefix`` lists the first of them: those
+    of a alone by hash, then those of b alone.  A third set is within the threshold of a, yet apart
+    from a's component, only if it shares ``(far - slack * sizes) / 2`` of them, and at least one.
+    """
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "large", "sa", "sb")
 
     def run(batches):
         for batch in batches:
-            linked, prefix, sizes = [], [], []
+            linked, prefix, sizes, apart = [], [], [], []
             for large, ra, rb in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 x, y = np.frombuffer(ra, np.uint64), np.frombuffer(rb, np.uint64)
                 common = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
@@ -228,18 +237,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 sizes.append(len(x))
                 linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
                 if large:
-                    # The other set must share one of these: all but what may be missing, and one.
-                    size = len(x) - -(-percent * len(x) // 100) + 1
-                    order = np.concatenate([x[~common], x[common]])[:size]
+                    far = len(x) + len(y) - 2 * shared
+                    # A third set's own difference, less its slack, is least at the centre itself.
+                    excess = (100 + percent) * far - (100 - percent) * (len(x) + len(y))
+                    need = max(1, -(-excess // (2 * (100 + percent))))
+                    alone = np.setdiff1d(y, x, assume_unique=True)
+                    order = np.concatenate([x[~common], alone])[: max(0, far - need + 1)]
+                    apart.append(far)
                     prefix.append(order.view(np.int64).tolist())
                 else:
+                    apart.append(None)
                     prefix.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["a", "b", "large", "linked", "n", "prefix"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(apart, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["a", "b", "large", "linked", "n", "far", "prefix"],
             )
 
-    return both.mapInArrow(run, "a long, b long, large boolean, linked boolean, n long, prefix array<long>")
+    return both.mapInArrow(run, "a long, b long, large boolean, linked boolean, n long, far long, prefix array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -305,16 +319,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     small = cut(with_label.where(F.col("c") <= LARGE).join(mixed, "bucket").select("bucket", "id", "component", "centre"), "apart")
     other = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
     near = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), "centre").join(other, "bucket").where("a < b AND ca <> cb AND a <> centre AND b <> centre").select("a", "b")
-    rows = first.where("large").select(F.col("a").alias("id"), F.col("b").alias("centre"), "n", "prefix")
+    rows = first.where("large").select(F.col("a").alias("id"), F.col("b").alias("centre"), "n", "far", "prefix")
     rows = rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = rows.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("centre")
-    stems = rows.join(split, "centre").select("centre", "id", "n", "component", F.posexplode("prefix").alias("at", "stem"))
+    # One centre may head a large part of all rows: its members are dealt over several tasks.
+    split = split.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    stems = salted.join(split, ["centre", "salt"]).select("centre", "id", "n", "far", "component", F.posexplode("prefix").alias("at", "stem"))
     groups = stems.groupBy("centre", "stem").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("centre", "stem")
     stems = cut(stems.join(groups, ["centre", "stem"]), "stems")
-    one, two = (stems.select("centre", "stem", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component", "at"))) for side in "ab")
-    # Sizes must be near enough, and what follows the shared stem long enough for the overlap.
+    one, two = (stems.select("centre", "stem", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "far", "component", "at"))) for side in "ab")
+    # Sizes must be near enough, and what follows the shared stem enough to bring the two together.
     fits = f"""id_a < id_b AND component_a <> component_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
-        AND {100 + percent} * (least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) >= {percent} * (n_a + n_b)"""
+        AND {100 + percent} * (far_a + far_b - 2 * least(far_a - at_a, far_b - at_b)) <= {100 - percent} * (n_a + n_b)"""
     far = one.join(two, ["centre", "stem"]).where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     rest = near.unionByName(far).distinct().withColumn("large", F.lit(False))
     rest = cut(plausible(rest, classes, percent), "rest")
