@@ -92,3 +92,17 @@ def change_points(a: np.ndarray, pvalue: float = 0.05, fold: float = 0.8, least:
         if i - j > 0:
             todo.append((low, at - j))
     return out
+
+
+def permuted_steps(x: np.ndarray, rounds: int = 10, seed: int = 0) -> np.ndarray:
+    """Signals with the steps of ``x`` at random places, one a row: rises count before theirs, falls from theirs on."""
+    rng = np.random.default_rng(seed)
+    steps = np.diff(x)
+    rises, falls = steps[steps > 0], steps[steps < 0]
+    out = np.empty((rounds, len(x)))
+    for row in out:
+        before, after = np.zeros(len(x)), np.zeros(len(x))
+        before[rng.choice(len(x), len(rises), replace=False)] = rises
+        after[rng.choice(len(x), len(falls), replace=False)] = falls
+        row[:] = x[0] + before.sum() - np.cumsum(before) + np.cumsum(after)
+    return out

@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 def parse_gtf(lines: DataFrame, column: str = "value") -> DataFrame:
     """Features of GTF lines: 0-based half-open coordinates and a map of attributes.
 
-    Blank lines, comments and lines with fewer than nine fields are skipped.
+    Blank lines, comments and lines with fewer than nine fields are skipped.  Of attributes with one
+    key the last counts; a lone dot means no attributes.
     """
     text = lines.where((F.trim(column) != "") & ~F.col(column).startswith("#")).select(F.split(F.rtrim(column), "\t").alias("f")).where(F.size("f") >= 9)
-    parts = F.filter(F.transform(F.split(F.col("f")[8], ";"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.col("f")[8], ";"), lambda x: F.trim(x)), lambda x: (x != "") & (x != "."))
     pair = lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1), F.trim(F.regexp_replace(x, r'^\S+\s*|"', "")))
+    pairs = F.transform(parts, pair)
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["col1"] == p["col1"]))
     f = F.col("f")
     return text.select(
         f[0].alias("seqid"), f[1].alias("source"), f[2].alias("feature"), (f[3].cast("long") - 1).alias("start"), f[4].cast("long").alias("end"),
-        f[5].alias("score"), f[6].alias("strand"), f[7].alias("phase"), F.map_from_entries(F.transform(parts, pair)).alias("attrs"),
+        f[5].alias("score"), f[6].alias("strand"), f[7].alias("phase"), F.map_from_entries(last).alias("attrs"),
     )
 
 

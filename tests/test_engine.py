@@ -102,6 +102,24 @@ def test_gtf_lines(spark):
     assert (r["start"], r["end"], r["attrs"]) == (10, 50, {"transcript_id": "A", "sample_id": "1", "expr": "2.5"})
 
 
+def test_gtf_repeated_and_missing_attributes(spark):
+    head = "chr1\tt\texon\t11\t50\t0\t+\t.\t"
+    lines = [head + 'tag "x"; id "A"; tag "y";', head + "."]
+    got = [r["attrs"] for r in text.parse_gtf(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert sorted(got, key=len) == [{}, {"id": "A", "tag": "y"}]
+
+
+def test_permuted_steps_keep_the_sums_of_rises_and_falls():
+    from strandloom.functions.changepoints import permuted_steps
+
+    x = np.array([3.0, 3.0, 8.0, 8.0, 2.0, 4.0, 1.0, 1.0])
+    rows = permuted_steps(x, rounds=50, seed=4)
+    assert rows.shape == (50, 8) and (permuted_steps(x, 50, 4) == rows).all()
+    # The last place has no rise after it and every fall before or at it.
+    assert np.allclose(rows[:, -1], 3.0 - 9.0)
+    assert rows.max() <= 3.0 + 7.0 and rows.min() >= 3.0 - 9.0
+
+
 def test_smoothing_matches_convolution(spark):
     x = np.random.default_rng(1).random(40)
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k long, pos long, value double")
