@@ -6,6 +6,7 @@ Node 0 is the source, node 1 the sink, k-mers follow in order of discovery; ties
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 SOURCE, SINK = 0, 1
@@ -267,17 +268,49 @@ def gene_clusters(paths: list[tuple[tuple, float]], min_frac: float = 0.0) -> tu
     return genes, dropped
 
 
-def assemble(transfrags: list[dict], minus: bool, isoform_frac: float = 0.05, max_isoforms: int = 0, kmax: int = 0, path_frac: float = 0.0, max_paths: int = 0) -> list[dict]:
-    """Isoforms of one splice graph component from transfrags (exons, expr)."""
+def graph_nodes(transfrags: list[dict]) -> tuple[list[tuple], list[tuple]]:
+    """Nodes of the splice graph of transfrags (exons, expr), and each one's nodes in genome order."""
     cuts = sorted({p for t in transfrags for p in (t["exons"][0][0], t["exons"][-1][1])} & _ends(transfrags) | {p for t in transfrags for (a, b), (c, d) in zip(t["exons"], t["exons"][1:]) for p in (b, c)} | _zeros(transfrags))
-    nodes = list(zip(cuts, cuts[1:]))
     walks = []
     for t in transfrags:
-        walk = [n for n in nodes if any(n[0] < e and s < n[1] for s, e in t["exons"])]
-        walks.append(tuple(reversed(walk)) if minus else tuple(walk))
+        hit = dict.fromkeys(i for s, e in t["exons"] for i in range(bisect_right(cuts, s) - 1, bisect_left(cuts, e)))
+        walks.append(tuple((cuts[i], cuts[i + 1]) for i in hit))
+    return list(zip(cuts, cuts[1:])), walks
+
+
+def components(transfrags: list[dict]) -> list[list[dict]]:
+    """Transfrags of each weakly connected component of a splice graph, in order of their nodes."""
+    nodes, walks = graph_nodes(transfrags)
+    up = {n: n for n in nodes}
+
+    def top(n: tuple) -> tuple:
+        while up[n] != n:
+            up[n] = n = up[up[n]]
+        return n
+
+    for walk in walks:
+        for a, b in zip(walk, walk[1:]):
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+    parts: dict[tuple, list[dict]] = {}
+    for t, walk in zip(transfrags, walks):
+        if walk:
+            parts.setdefault(top(walk[0]), []).append(t)
+    return [parts[n] for n in sorted(parts)]
+
+
+def graph_paths(transfrags: list[dict], minus: bool) -> tuple[list[tuple[tuple, float, bool, bool]], list[tuple]]:
+    """(nodes, expression, starts, stops) of every transfrag in order of transcription; the graph's nodes."""
+    nodes, walks = graph_nodes(transfrags)
+    walks = [w[::-1] for w in walks] if minus else walks
     into = {b for w in walks for b in w[1:]}
     out = {a for w in walks for a in w[:-1]}
-    paths = [(w, t["expr"], w[0] not in into, w[-1] not in out) for w, t in zip(walks, transfrags) if w]
+    return [(w, t["expr"], w[0] not in into, w[-1] not in out) for w, t in zip(walks, transfrags) if w], nodes
+
+
+def assemble(transfrags: list[dict], minus: bool, isoform_frac: float = 0.05, max_isoforms: int = 0, kmax: int = 0, path_frac: float = 0.0, max_paths: int = 0) -> list[dict]:
+    """Isoforms of one splice graph component from transfrags (exons, expr)."""
+    paths, nodes = graph_paths(transfrags, minus)
     k, _ = choose_k(paths, kmax)
     if not k:
         return []

@@ -1,7 +1,7 @@
 """The assembly plan: features to loci, coverage, splice graphs, isoforms and genes.
 
-Loci and strands are independent, so the grouped kernels run one (locus, strand) a group; what is
-large (features, coverage, junctions) stays relational.
+Loci and strands are independent, so the grouped kernels run one (locus, strand) a group, cut into
+its weakly connected components; what is large (features, coverage, junctions) stays relational.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..durable import cut
 from ..functions import changepoints, paths
+from ..operators import intervals
 from ..operators.transcripts import transfrags
 
 
@@ -40,16 +42,23 @@ class Options:
 
 
 def _graphs(exons: DataFrame) -> DataFrame:
-    """A row for each (seqid, strand): its transfrags in order of id.
+    """A row for each locus and strand: its transfrags in order of id.
 
-    A graph is what a kernel must see whole; many graphs travel in one Arrow batch.
+    Loci are runs of overlapping transfrags of a sequence; a transfrag is in the one that holds its
+    start.  A row is what a kernel must see whole; many rows travel in one Arrow batch.
     """
-    t = transfrags(exons, ["seqid", "strand", "tx"])
-    return t.groupBy("seqid", "strand").agg(F.array_sort(F.collect_list(F.struct("tx", "expr", "exons"))).alias("t"))
+    t = cut(transfrags(exons, ["seqid", "strand", "tx"]), "transfrags")
+    loci = intervals.merge_islands(t, ["seqid"]).withColumn("locus", F.col("start"))
+    at = t.withColumn("_t", F.struct("tx", "expr", "exons")).select("seqid", "strand", "_t", "start", (F.col("start") + 1).alias("end"))
+    placed = intervals.overlap_join(at, loci)
+    return placed.groupBy("seqid", "strand", F.col("r_locus").alias("locus")).agg(F.array_sort(F.collect_list("_t")).alias("t"))
 
 
 def _mapped(exons: DataFrame, kernel, schema: str) -> DataFrame:
-    """``kernel(seqid, strand, transfrags)`` gives tuples of the schema's columns."""
+    """``kernel(seqid, strand, graph, transfrags)`` gives tuples of the schema's columns.
+
+    It is called for each connected graph of a locus and strand, named by its first base.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -57,7 +66,8 @@ def _mapped(exons: DataFrame, kernel, schema: str) -> DataFrame:
             rows = []
             for g in batch.to_pylist():
                 members = [{"exons": [(e["start"], e["end"]) for e in t["exons"]], "expr": float(t["expr"])} for t in g["t"]]
-                rows += kernel(g["seqid"], g["strand"], members)
+                for part in paths.components(members):
+                    rows += kernel(g["seqid"], g["strand"], min(t["exons"][0][0] for t in part), part)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
@@ -65,28 +75,26 @@ def _mapped(exons: DataFrame, kernel, schema: str) -> DataFrame:
 
 
 def isoforms(exons: DataFrame, options: Options = Options()) -> DataFrame:
-    """Isoforms of exon rows (seqid, strand, tx, start, end, expr), genes counted in each group."""
+    """Isoforms of exon rows (seqid, strand, tx, start, end, expr), genes counted in each graph."""
     o = options
 
-    def kernel(seqid, strand, members):
+    def kernel(seqid, strand, graph, members):
         found = paths.assemble(members, strand == "-", o.isoform_frac, o.max_isoforms, o.path_kmax, o.path_frac, o.max_paths)
-        return [(seqid, strand, r["gene"], r["rank"], ",".join(f"{a}-{b}" for a, b in r["exons"]), r["expr"], r["rel_frac"], r["abs_frac"]) for r in found]
+        return [(seqid, strand, graph, r["gene"], r["rank"], ",".join(f"{a}-{b}" for a, b in r["exons"]), r["expr"], r["rel_frac"], r["abs_frac"]) for r in found]
 
-    return _mapped(exons, kernel, "seqid long, strand string, gene long, rank long, exons string, expr double, rel_frac double, abs_frac double")
+    return _mapped(exons, kernel, "seqid long, strand string, graph long, gene long, rank long, exons string, expr double, rel_frac double, abs_frac double")
 
 
 def path_statistics(exons: DataFrame) -> DataFrame:
     """A row for every k that the choice of k tried, by graph."""
     fields = ["k", "kmax", "transfrags", "kmers", "short_transfrags", "lost_kmers", "tot_expr", "lost_expr", "lost_expr_frac", "valid"]
 
-    def kernel(seqid, strand, members):
-        walks = [tuple(m["exons"]) for m in members]
-        into, out = {b for w in walks for b in w[1:]}, {a for w in walks for a in w[:-1]}
-        rows = paths.choose_k([(w, m["expr"], w[0] not in into, w[-1] not in out) for w, m in zip(walks, members)])[1]
-        return [(seqid, strand, *(float(r[f]) if "expr" in f else r[f] for f in fields)) for r in rows]
+    def kernel(seqid, strand, graph, members):
+        rows = paths.choose_k(paths.graph_paths(members, strand == "-")[0])[1]
+        return [(seqid, strand, graph, *(float(r[f]) if "expr" in f else r[f] for f in fields)) for r in rows]
 
     schema = ", ".join(f"{f} double" if "expr" in f else f"{f} long" for f in fields)
-    return _mapped(exons, kernel, f"seqid long, strand string, {schema}")
+    return _mapped(exons, kernel, f"seqid long, strand string, graph long, {schema}")
 
 
 def change_points(signal: DataFrame, options: Options = Options()) -> DataFrame:

@@ -46,6 +46,28 @@ def test_widest_paths_of_path1():
     assert paths.choose_k(walks)[0] == 2
 
 
+def test_disjoint_genes_are_separate_graphs(spark):
+    from strandloom.plans import assembly
+
+    found = []
+    for gene, scale in ((0, 1000.0), (20000, 1.0)):
+        a, b, c, d, e = [(gene + i, gene + i + 100) for i in range(0, 1000, 200)]
+        found += [(x, scale * v) for x, v in (([a, b, c, d, e], 10.0), ([a, c, e], 5.0), ([a, b, c, e], 2.0), ([a, c, d, e], 1.0))]
+    found.append(([(110, 190)], 2.0))  # in an intron of the strong gene: the same locus, another graph
+    data = [(1, t, "+", s, e, x / len(ex)) for t, (ex, x) in enumerate(found) for s, e in ex]
+    df = spark.createDataFrame(data, "seqid long, tx long, strand string, start long, end long, expr double")
+    got = sorted((r["graph"], r["gene"], r["rank"], round(r["expr"], 6)) for r in assembly.isoforms(df).collect())
+    assert got == [(0, 0, k, v * 1000) for k, v in enumerate((11, 6, 1))] + [(110, 0, 0, 2)] + [(20000, 0, k, v) for k, v in enumerate((11, 6, 1))]
+    stats = assembly.path_statistics(df).groupBy("graph").agg({"kmax": "max", "transfrags": "max"}).collect()
+    assert sorted((r["graph"], r["max(kmax)"], r["max(transfrags)"]) for r in stats) == [(0, 5, 4), (110, 1, 1), (20000, 5, 4)]
+
+
+def test_touching_exons_part_at_a_splice_site_only():
+    whole = [{"exons": [(0, 10)], "expr": 1.0}, {"exons": [(10, 20)], "expr": 1.0}]
+    assert [len(p) for p in paths.components(whole)] == [2]
+    assert [len(p) for p in paths.components([{"exons": [(0, 10), (30, 40)], "expr": 1.0}, whole[1]])] == [1, 1]
+
+
 def test_clusters_and_maximiser():
     data = [((1, 2, 3, 4), 1000), ((4, 5, 6), 1000), ((7, 8, 9), 100), ((6, 7), 1)]
     assert [(len(g), len(f)) for g, f in (paths.gene_clusters(data, 0.0), paths.gene_clusters(data, 0.01))] == [(1, 0), (2, 1)]
