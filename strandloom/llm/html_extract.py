@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
-Pages are parsed into a light tree.  Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are cut off by element and by role words in class and id.  Every
+Pages are parsed into a light tree.  Menus, headers, footers, sidebars, notices, adverts,
+scripts, styles and comments are cut off by element and by role words in class and id, and so are
+forms, unless one holds the article.  Every
 remaining block passes points for its length and its commas to its ancestors, halved at each
 level beyond the first, discounted by the share of its text inside links.  The best container and
 those of its siblings that score alike are the article; all of its blocks are kept, in page order.
@@ -24,8 +25,8 @@ from .common import slices
 # Elements by role, and role words of classes and ids.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "dialog", "menu", "head", "label", "fieldset", "audio", "video", "math"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+DROPPED = RAW | {"nav", "footer", "aside", "button", "select", "option", "svg", "canvas", "object", "dialog", "menu", "head", "label", "fieldset", "audio", "video"}
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split()) | set("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"table", "ul", "ol", "dl", "select", "article", "section", "main", "div", "body", "blockquote"}
@@ -43,10 +44,12 @@ GAPS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "score", "text", "linked", "article")
+    __slots__ = ("tag", "parent", "score", "text", "linked", "article", "cut", "form", "whole")
 
-    def __init__(self, tag: str, parent: "Node | None", article: bool):
-        self.tag, self.parent, self.article = tag, parent, article
+    def __init__(self, tag: str, parent: "Node | None", article: bool, cut: bool = False):
+        self.tag, self.parent, self.article, self.cut = tag, parent, article, cut
+        self.form: Node | None = self if tag == "form" else parent and parent.form
+        self.whole = False  # a form that holds an article element
         self.score = 0.0
         self.text = self.linked = 0
 
@@ -60,7 +63,7 @@ def unwanted(tag: str, raw: str, inside: bool) -> bool:
     if raw and ("=" in raw or "hidden" in raw):
         for name, value in ATTRIBUTE.findall(raw):
             name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES and (tag, value.lower()) != ("form", "form"):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True
@@ -69,6 +72,23 @@ def unwanted(tag: str, raw: str, inside: bool) -> bool:
     return False
 
 
+def self_closed(raw: str) -> bool:
+    """Whether a start tag ends with a slash that is not part of an unquoted value."""
+    return raw.endswith("/") and not re.search(r"=\s*[^\s\"'>][^\s>]*$", re.sub(r"\"[^\"]*\"|'[^']*'", '""', raw))
+
+
+def held(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks without those of forms, unless a form holds the article.
+
+    It does if it has an article element, or most of the page's text outside links.
+    """
+    plain: dict[Node | None, int] = {}
+    for node, text, inside in found:
+        plain[node.form] = plain.get(node.form, 0) + len(text) - inside
+    kept = {f for f, n in plain.items() if f is None or f.whole or 2 * n > sum(plain.values())}
+    return [b for b in found if b[0].form in kept]
+
+
 def blocks(html: str) -> list[tuple[Node, str, int]]:
     """(container, text, characters inside links) of every block that is not cut off."""
     root = Node("", None, False)
@@ -89,13 +109,27 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
                 out.append((node, text, inside))
         buffer, linked = [], []
 
+    def close(k: int) -> None:
+        """End the open elements from the k-th on."""
+        nonlocal links
+        if not stack[k].cut:
+            flush()
+            links = 0
+        del stack[k:]
+
     def say(text: str) -> None:
-        if text:
+        if stack[-1].cut and stack[-1].tag == "head" and text.strip():
+            del stack[-1:]  # text ends a head without an end tag
+        if text and not stack[-1].cut:
             text = unescape(text) if "&" in text else text
             buffer.append(text)
             if links:
                 linked.append(text)
 
+    def foreign() -> bool:
+        """Whether the open element is in a drawing or a formula, where a slash ends an element."""
+        return any(n.tag in ("svg", "math") for n in reversed(stack))
+
     at, size = 0, len(html)
     while at < size:
         start = html.find("<", at)
@@ -118,7 +152,7 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
         tag = tag.lower()
         if m[2]:  # an end tag
             if tag in INLINE:
-                if tag == "a" and links:
+                if tag == "a" and links and not stack[-1].cut:
                     links -= 1
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
@@ -129,18 +163,21 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    flush()
-                    links = 0
-                    del stack[k:]
+                    close(k)
                     break
             else:
-                if tag in ("p", "br"):
+                if tag in ("p", "br") and not stack[-1].cut:
                     flush()
             continue
-        inside = stack[-1].article
-        if tag in RAW and not m[4].rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+        empty = self_closed(m[4])
+        if empty and foreign():
+            continue
+        if tag in RAW:
+            end = re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>" if empty else rf"<(/){tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            if not empty:
+                at = end.end() if end else size
+            elif end and end[1]:  # browsers pass over the slash
+                at = end.end()
             continue
         if tag in VOID:
             if tag == "br":
@@ -148,10 +185,31 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
             elif tag == "hr":
                 flush()
             continue
-        if unwanted(tag, m[4], inside):
-            if tag not in INLINE:
+        if empty and tag in ("svg", "math"):
+            continue
+        # What ends by implication ends an unwanted element too.
+        if stack[-1].tag == "head":
+            close(len(stack) - 1)
+        if tag not in INLINE:
+            if tag in CLOSES_P:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "p":
+                        close(k)
+                        break
+                    if stack[k].tag in SCOPES:
+                        break
+            if tag in SAME:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in SAME[tag]:
+                        close(k)
+                        break
+                    if stack[k].tag in SCOPES:
+                        break
+        inside = stack[-1].article
+        if stack[-1].cut or unwanted(tag, m[4], inside):
+            if tag not in INLINE and not stack[-1].cut:
                 flush()
-            at = _skip(html, at, tag)
+            stack.append(Node(tag, stack[-1], inside, True))
             continue
         if tag in INLINE:
             if tag == "a":
@@ -160,36 +218,14 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
             continue
         flush()
         links = 0
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPES:
-                    break
-        if tag in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SAME[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPES:
-                    break
         node = Node(tag, stack[-1], inside or tag in ("article", "main"))
+        if tag in ("article", "main") and node.form:
+            node.form.whole = True
         if tag in ("article", "main") or ("class" in m[4] or "id" in m[4]) and POSITIVE.search(m[4]):
             node.score += 5.0
         stack.append(node)
     flush()
-    return out
-
-
-def _skip(html: str, at: int, tag: str) -> int:
-    """The end of an unwanted element: its matching end tag, or the end of the page."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(html, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return len(html)
+    return held(out)
 
 
 def main_text(html: str) -> str:

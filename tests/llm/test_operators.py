@@ -224,6 +224,33 @@ def test_main_text(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<p class=notice>Cookies.<p>{}</p>",
+        "<ul><li class=share>Share<li>{}</ul>",
+        "<svg width='1' /><p>{}</p>",
+        "<svg><path d='M0' /><title/></svg><p>{}</p>",
+        "<div class=ad><script>var a = '<div>';</script><!-- <div> --></div><p>{}</p>",
+        "<aside>x<nav>y</aside><p>{}</p>",
+        "<p>text <span class=ad>buy</span></p><p>{}</p>",
+        "<a class=share href=x>Share</a><p>{}</p>",
+        "<script src='x' /><p>{}</p><script>1</script>",
+    ],
+)
+def test_unwanted_elements_end_where_they_end(inner):
+    tail = "The article goes on, with commas, after what was cut."
+    got = html_extract.main_text(f"<html><head><title>t</title><body><div>{inner.format(tail)}<p>{tail} Twice.</p></div></body></html>")
+    assert got.removeprefix("text\n\n") == f"{tail}\n\n{tail} Twice."
+
+
+def test_formulas_stay_and_small_forms_go():
+    page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, then stop.</p><form><p>Your name</p></form></article></body>"
+    assert html_extract.main_text(page) == "Let x=2, then stop."
+    wrapped = "<body><form id=aspnetForm><div><p>The first, long sentence.<p>The second, long sentence.</div><label>L</label></form><p>Foot</p></body>"
+    assert html_extract.main_text(wrapped) == "The first, long sentence.\n\nThe second, long sentence."
+
+
 def test_fold_is_crc32(spark):
     from strandloom.llm.common import fold
 
