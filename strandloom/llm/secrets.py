@@ -1,13 +1,13 @@
 """Secret scanning: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Everything runs as DataFrame expressions.  Two first-order Markov models over a fixed alphabet are
-trained, one on random strings, one on ordinary identifiers; a candidate token is a secret if the
-ratio of its likelihoods exceeds a threshold.  The labelled samples are keyed digests in the usual
+trained, one on random strings, one on ordinary identifiers; a run of characters is a secret if
+the ratio of its likelihoods exceeds a threshold, or else those of its stretches whose ratio does.  The labelled samples are keyed digests in the usual
 encodings (random by construction) and words of a bounded, hashed sample of documents, alone and
 joined in the styles of identifiers.
 
 Results for odd input: null text counts as empty and has no spans; overlapping kinds keep all base
-spans, a model's span is added only where it touches no base span; text length is not limited;
+spans, base spans are cut out of a run before the models see it; text length is not limited;
 repeated rows get equal results; an empty table gives an empty result (and models of the digests
 alone); other columns of the input are ignored, whatever their names.
 """
@@ -27,9 +27,11 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 _RUN = "A-Za-z0-9+/_=-"
-#: Runs of 16 or more that hold a letter, and a digit or a change from lower to upper case.
-CANDIDATE = rf"(?<![{_RUN}])(?=[{_RUN}]{{16}})(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z+/_=-]*+[0-9]|[{_RUN}]*?[a-z][A-Z])[{_RUN}]+"
+LEAST = 16
+#: Runs of LEAST or more that hold a letter.
+CANDIDATE = rf"(?<![{_RUN}])(?=[{_RUN}]{{{LEAST}}})(?=[0-9+/_=-]*+[A-Za-z])[{_RUN}]+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+ALNUM = ALPHABET[:62]
 SIDE = len(ALPHABET) + 1
 RATIO = 12.0
 # Words of ordinary identifiers, beside those of the corpus.
@@ -98,16 +100,53 @@ def markov_table(docs: DataFrame) -> list[float]:
     return table
 
 
-def _token_ratios(text: str, table: list[float]) -> Column:
-    """Ratios of the candidate tokens, in the order of their matches."""
+def _pieces(tokens: str, base: str) -> Column:
+    """What base spans leave of candidate runs, where it is long enough."""
+    return F.expr(
+        f"""filter(flatten(transform({tokens}, t -> aggregate({base},
+          named_struct('at', t.start, 'out', CAST(array() AS {SPAN})),
+          (s, b) -> IF(b.start < t.end AND t.start < b.end,
+            named_struct('at', greatest(s.at, b.end), 'out', concat(s.out, array(named_struct('start', s.at, 'kind', t.kind, 'end', b.start)))),
+            s),
+          s -> concat(s.out, array(named_struct('start', s.at, 'kind', t.kind, 'end', t.end)))))), p -> p.end - p.start >= {LEAST})"""
+    )
+
+
+def _stretches(text: str, pieces: str, table: list[float], ratio: float) -> Column:
+    """Spans of the pieces whose ratio exceeds ``ratio``, or else of their stretches that do.
+
+    A stretch starts where the running sum was last at or below 0 and ends at its highest place;
+    it is complete once the sum has fallen by ``ratio`` from there.  It is widened to whole words
+    of letters and digits, and must then hold a letter and LEAST characters.
+    """
     values = f"CAST(split('{' '.join(map(str, table))}', ' ') AS array<double>)"
+    empty = "CAST(array() AS array<struct<a:int,b:int>>)"
+    found = f"IF(s.best > {ratio}, concat(s.out, array(named_struct('a', s.first, 'b', s.last))), s.out)"
+    # The sum that the next pair is added to: begun again after a stretch is complete or worth nothing.
+    again = f"(s.sum <= 0 OR s.best - s.sum >= {ratio})"
+    step = f"""named_struct('i', s.i + 1, 'before', k, 'all', s.all + v, 'sum', IF({again}, 0, s.sum) + v,
+        'begin', IF({again}, greatest(s.i - 1, 0), s.begin),
+        'best', IF({again}, greatest(v, 0), greatest(s.best, s.sum + v)),
+        'first', IF({again}, greatest(s.i - 1, 0), IF(s.sum + v > s.best, s.begin, s.first)),
+        'last', IF({again} OR s.sum + v > s.best, s.i + 1, s.last),
+        'out', IF({again}, {found}, s.out))"""
+    pair = f"element_at({values}, s.before * {SIDE} + k + 1)"
+    zero = "CAST(0 AS double)"
+    spans = f"""aggregate(
+        transform(split(t, ''), c -> instr('{ALPHABET}', c)),
+        named_struct('i', 0, 'before', 0, 'all', {zero}, 'sum', {zero}, 'begin', 0, 'best', {zero}, 'first', 0, 'last', 0, 'out', {empty}),
+        (s, k) -> element_at(transform(array({pair}), v -> {step}), 1),
+        s -> IF(s.all > {ratio}, array(named_struct('a', 0, 'b', s.i)), {found}))"""
+    wide = f"""transform({spans}, x -> named_struct(
+        'a', length(trim(TRAILING '{ALNUM}' FROM substring(t, 1, x.a))),
+        'b', length(t) - length(trim(LEADING '{ALNUM}' FROM substring(t, x.b + 1)))))"""
+    joined = f"""aggregate({wide}, {empty}, (o, x) -> IF(size(o) > 0 AND element_at(o, -1).b > x.a,
+        concat(slice(o, 1, size(o) - 1), array(named_struct('a', element_at(o, -1).a, 'b', greatest(element_at(o, -1).b, x.b)))),
+        concat(o, array(x))))"""
+    good = f"filter({joined}, x -> x.b - x.a >= {LEAST} AND substring(t, x.a + 1, x.b - x.a) RLIKE '[A-Za-z]')"
     return F.expr(
-        f"""transform(regexp_extract_all({text}, '{CANDIDATE}', 0), t ->
-          aggregate(
-            transform(split(t, ''), c -> instr('{ALPHABET}', c)),
-            named_struct('before', 0, 'sum', CAST(0 AS double)),
-            (s, k) -> named_struct('before', k, 'sum', s.sum + element_at({values}, s.before * {SIDE} + k + 1)),
-            s -> s.sum))"""
+        f"""flatten(transform({pieces}, p -> element_at(transform(array(substring({text}, p.start + 1, p.end - p.start)), t ->
+          transform({good}, x -> named_struct('start', p.start + x.a, 'kind', p.kind, 'end', p.start + x.b))), 1)))"""
     )
 
 
@@ -120,14 +159,8 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, ratio: float
     base = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     base = base.select(*keep, "text", F.array_sort(F.concat(match_spans("text", ASSIGN, 0, 2, 6), match_spans("text", ACCESS, 1), match_spans("text", HEX, 2))).alias("base"))
     tokens = base.withColumn("_tokens", match_spans("text", CANDIDATE, len(KINDS)))
-    free = tokens.withColumn("_ratios", F.when(F.size("_tokens") > 0, _token_ratios("text", table)))
-    added = F.expr(
-        f"""CASE WHEN size(_tokens) > 0 THEN
-          transform(
-            filter(arrays_zip(_tokens, _ratios), x -> x._ratios > {ratio} AND NOT exists(base, b -> b.start < x._tokens.end AND x._tokens.start < b.end)),
-            x -> x._tokens)
-        ELSE CAST(array() AS {SPAN}) END"""
-    )
+    free = tokens.withColumn("_pieces", F.when(F.size("_tokens") > 0, _pieces("_tokens", "base")))
+    added = F.when(F.size("_pieces") > 0, _stretches("text", "_pieces", table, ratio)).otherwise(F.expr(f"CAST(array() AS {SPAN})"))
     return free.select(*keep, "text", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 

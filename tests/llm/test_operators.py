@@ -98,6 +98,20 @@ def test_secrets_match_the_patterns(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secrets_are_found_inside_runs(spark):
+    key, letters = "Zk3mQ9vXr7LpT2wBn8sYk4Wd", "qXvKzJwQpGxZkVbHfMqT"
+    path = "/services/account/notification/settings/"
+    texts = {1: path + key, 2: f"session_identifier={key}", 3: letters, 5: f"{path}{key}{path}{path}{key}{path}", 6: path + "controller_description_language", 7: "\U0001f600 é " + path + key}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3] for r in secrets.find_secrets(df).collect()}
+    covered = lambda i, word: [any(a <= m.start() and m.end() <= b for a, b in got[i]) for m in re.finditer(word, texts[i])]
+    assert all(all(covered(i, key)) for i in (1, 2, 5, 7)) and all(covered(3, letters)) and got[6] == []
+    (start, end), (start7, end7) = got[1][0], got[7][0]
+    assert len(path) - 9 <= start and end == len(path + key) and (start7, end7) == (start + 4, end + 4)
+    cut = spark.createDataFrame([(1, f"deadbeefdeadbeefdeadbeef/{key}")], "doc_id long, text string")
+    assert secrets.find_secrets(cut).first()["spans"][1]["end"] == 25 + len(key)
+
+
 def test_languages_are_told(spark, empty):
     texts = {"en": "the house and the tree with those things", "fr": "la maison était près du château éclairé"}
     df = spark.createDataFrame([(i, texts["en" if i % 2 else "fr"] * (1 + i % 30), "en" if i % 2 else "fr") for i in range(200)] + [(900, None, None), (901, "123", "en"), (902, "", None)], "doc_id long, text string, lang string")
