@@ -2,7 +2,7 @@
 
 Entities are found by one pattern, made canonical (letter case aside), and given a surrogate once
 per corpus: a format-preserving keyed image that keeps the type, the length, the punctuation, the
-script of every letter, the country code of a telephone number, the validity of a card number's
+script of every letter (letters of rare scripts become Latin), the country code of a telephone number, the validity of a card number's
 check digit, and the gender of a titled name.  A surrogate that equals another entity's, or any
 entity that really occurs, is drawn again; so different entities stay different and all mentions
 of one entity stay one, in every document.
@@ -15,12 +15,16 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 from .spans import quoted
 
-_WORD = r"\p{L}\p{N}._%+-"
+# Marks belong to the letters of many scripts.  Every part of an address holds a letter or a digit.
+_WORD = r"\p{L}\p{M}\p{N}._%+-"
+_LABEL = r"-*+[\p{L}\p{N}][\p{L}\p{M}\p{N}-]*+"
 # Titles and given names by gender and script, family names by script.
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
 TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
@@ -37,7 +41,7 @@ FAMILY = {
 
 #: Type -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": rf"(?<![{_WORD}])[{_WORD}]++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
+    "email": rf"(?<![{_WORD}])(?=[._%+\p{{M}}-]*+[\p{{L}}\p{{N}}])[{_WORD}]++@{_LABEL}(?:\.{_LABEL})+",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9A-Za-z])",
@@ -50,6 +54,16 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap sign that a text may hold an entity at all: a digit, an at sign or a title.
 HINT = r"[0-9@]|(?:M(?:rs?|s|iss|me|adame|onsieur)|Herr|Frau|S(?:ra?|eñora?)|Госпо(?:жа|дин))\.? \p{Lu}"
 ROUNDS = 40
+#: Attempts from which an address grows, so that short ones do not run out of images.
+GROWS = 8
+#: Java's script -> its letters, from ranges that hold the common ones; other scripts become Latin.
+SCRIPTS = {
+    script: "".join(c for c in map(chr, range(first, last + 1)) if unicodedata.category(c) in ("Lo", "Ll"))
+    for script, first, last in [
+        ("Han", 0x4E00, 0x51FF), ("Hiragana", 0x3042, 0x3093), ("Katakana", 0x30A2, 0x30F3), ("Hangul", 0xAC00, 0xAFFF), ("Arabic", 0x0628, 0x064A), ("Hebrew", 0x05D0, 0x05EA),
+        ("Devanagari", 0x0905, 0x0939), ("Bengali", 0x0985, 0x09B9), ("Tamil", 0x0B85, 0x0BB9), ("Telugu", 0x0C05, 0x0C39), ("Thai", 0x0E01, 0x0E2E), ("Armenian", 0x0561, 0x0586), ("Georgian", 0x10D0, 0x10F0),
+    ]
+}
 
 
 def entity_type(entity: str) -> Column:
@@ -71,6 +85,7 @@ def _letters(seed: str) -> str:
     # Letters beyond ASCII move inside their own script's block; char() covers one byte only.
     latin, cyrillic, greek = "áàâäãåçéèêëíìîïñóòôöõúùûüýß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
     pick = lambda s: f"substring('{s}', 1 + pmod(xxhash64({seed}, i, 'c'), {len(s)}), 1)"
+    other = " ".join(f"WHEN c RLIKE {quoted(rf'^\p{{Is{script}}}')} THEN {pick(letters)}" for script, letters in {**SCRIPTS, "Cyrillic": cyrillic, "Greek": greek}.items())
     return f"""array_join(transform(split(canon, ''), (c, i) -> CASE
         WHEN c BETWEEN '0' AND '9' THEN {shift(48, 10)}
         WHEN c BETWEEN 'a' AND 'z' THEN {shift(97, 26)}
@@ -78,6 +93,11 @@ def _letters(seed: str) -> str:
         WHEN instr('{latin}', c) > 0 THEN {pick(latin)}
         WHEN instr('{cyrillic}', c) > 0 THEN {pick(cyrillic)}
         WHEN instr('{greek}', c) > 0 THEN {pick(greek)}
+        WHEN c <= '~' THEN c
+        {other}
+        WHEN c RLIKE {quoted(r"^\p{N}")} THEN {shift(48, 10)}
+        WHEN c RLIKE {quoted(r"^\p{IsLatin}")} THEN {pick(latin)}
+        WHEN c RLIKE {quoted(r"^[\p{L}\p{M}]")} THEN {shift(97, 26)}
         ELSE c END), '')"""
 
 
@@ -96,7 +116,8 @@ def with_surrogates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     df = entities.withColumn(seed, F.sha2(F.concat_ws("\u0000", F.lit(key), "type", "canon", F.lit(str(attempt))).cast("binary"), 256))
     df = df.withColumn("_image", F.expr(_letters(seed)))
     octets = f"array_join(transform(split(canon, '[.]'), (o, i) -> CAST(1 + pmod(xxhash64({seed}, i, 'o'), 254) AS string)), '.')"
-    email = "concat(substring_index(_image, '@', 1), '@', CASE WHEN instr(substring_index(canon, '@', -1), '.') > 0 THEN concat(substring(substring_index(_image, '@', -1), 1, length(substring_index(canon, '@', -1)) - length(substring_index(canon, '.', -1))), substring_index(canon, '.', -1)) ELSE substring_index(_image, '@', -1) END)"
+    longer = f"concat(substring_index(_image, '@', 1), substring({seed}, 1, {attempt - GROWS + 1}))" if attempt >= GROWS else "substring_index(_image, '@', 1)"
+    email = f"concat({longer}, '@', CASE WHEN instr(substring_index(canon, '@', -1), '.') > 0 THEN concat(substring(substring_index(_image, '@', -1), 1, length(substring_index(canon, '@', -1)) - length(substring_index(canon, '.', -1))), substring_index(canon, '.', -1)) ELSE substring_index(_image, '@', -1) END)"
     phone = "CASE WHEN canon LIKE '+%' THEN concat(regexp_extract(canon, '^[+][0-9]{1,3}?(?=[^0-9]|[0-9]{7})', 0), substring(_image, 1 + length(regexp_extract(canon, '^[+][0-9]{1,3}?(?=[^0-9]|[0-9]{7})', 0)))) ELSE _image END"
     country = "concat(substring(canon, 1, 2), substring(_image, 3))"
     plain, image = "translate(canon, ' -', '')", "translate(_image, ' -', '')"

@@ -61,6 +61,23 @@ def test_pii_is_consistent_and_distinct(spark, empty):
     assert pii.pseudonymise(empty, "key").count() == 0
 
 
+def test_addresses_of_all_scripts_get_surrogates(spark):
+    local = ["张三", "محمد", "דוד", "राम", "ひろし", "サトウ", "김철수", "ოთარი", "łukasz", "ελένη", "їжак", "ሰላም", "٣٤"]
+    texts = [f"Mail {w}@{w}.example and -@-.- too" for w in local]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.pseudonymise(df, "key").collect()}
+    for i, w in enumerate(local):
+        text, n = got[i]
+        assert n == 1 and w not in text and re.fullmatch(r"Mail \S+@\S+\.example and -@-\.- too", text), text
+    assert re.match("Mail [\u4e00-\u9fff]{2}@", got[0][0]) and re.match("Mail [\u05d0-\u05ea]{3}@", got[2][0])
+
+
+def test_short_addresses_do_not_run_out(spark):
+    df = spark.createDataFrame([("email", f"{a}@{b}.x") for a in range(10) for b in range(10)], "type string, canon string")
+    made = [r["surrogate"] for r in pii.surrogate_map(df, "k").collect()]
+    assert len(made) == len(set(made)) == 100
+
+
 def test_surrogates_do_not_collide(spark):
     df = spark.createDataFrame([("name", f"mr {a}") for a in ("bob", "tom", "jim", "ron", "ted", "max", "ben", "ian", "sam", "dan", "rob", "joe")] * 4, "type string, canon string")
     made = [r["surrogate"] for r in pii.surrogate_map(df, "k").collect()]
