@@ -2,13 +2,17 @@
 
 The BPE encoding of a prefix is fixed by its last token: exactly one vocabulary suffix of the
 prefix can follow the encoding of what stands before it without some merge crossing the border.
-So the distinct words of a batch go into a trie, and a depth-first walk carries the last token of
-every prefix down the tree; prefixes that words share are encoded once.
+So the distinct words of a batch form a trie, and a depth-first walk carries the last token of
+every prefix down the tree; prefixes that words share are encoded once.  The tokens that end at a
+letter come from an automaton over the vocabulary, whose state is carried down beside the token.
+
+Sorted order is the trie's depth-first order, so a node is held only while its subtree is walked:
+the path from the root is a stack of two integers a letter, however long a word or a batch is.
 
 Results for odd input: null or empty text has no tokens and decodes to the empty string; repeated
-rows are encoded alike; a text's length is not limited (a word of n letters costs n times the
-longest token's length); an empty table gives an empty result; other columns of the input are
-ignored, whatever their names.
+rows are encoded alike; a text's or a word's length is not limited (a word costs a constant number
+of steps a letter, times the number of vocabulary suffixes there); an empty table gives an empty
+result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ import json
 import re
 import unicodedata
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import slices
@@ -27,6 +33,8 @@ from .common import slices
 INF = 1 << 60
 #: Unicode white space, as the vocabulary's patterns see it (no file or group separators).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of text that share one trie.
+BATCH = 8 << 20
 
 
 def byte_letters() -> list[str]:
@@ -46,7 +54,7 @@ class Merges:
         self.made = {vocab[a + b]: (vocab[a], vocab[b], r) for r, (a, b) in enumerate(merges)}
         self.lefts: dict[int, list[tuple[int, int]]] = {}
         self.rights: dict[int, list[tuple[int, int]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def edge(self, token: int, side: int, held: dict) -> list[tuple[int, int]]:
         """Tokens at one edge while ``token`` was built, each with the rank that consumed it."""
@@ -65,7 +73,7 @@ class Merges:
 
     def stable(self, left: int, right: int) -> bool:
         """No merge crosses the border between the two tokens."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             a, b = self.edge(left, 1, self.rights), self.edge(right, 0, self.lefts)
             i = j = 0
@@ -83,151 +91,241 @@ class Merges:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) < 2_000_000:
-                self.pairs[(left, right)] = known
+            if len(self.pairs) < 500_000:
+                self.pairs[left << 32 | right] = known
         return known
 
 
-class TrieEncoder:
-    """Encodes lists of distinct words (already in byte letters).
+class Suffixes:
+    """Vocabulary suffixes of what was read, longest first: an automaton with failure links."""
+
+    def __init__(self, inner: dict[str, int], final: dict[str, int], most_jumps: int = 500_000):
+        self.steps: list[dict[str, int]] = [{}]
+        own: list[list] = [[None, None]]
+        for side, tokens in enumerate((inner, final)):
+            for text, token in tokens.items():
+                at = 0
+                for letter in text:
+                    to = self.steps[at].get(letter)
+                    if to is None:
+                        self.steps[at][letter] = to = len(self.steps)
+                        self.steps.append({})
+                        own.append([None, None])
+                    at = to
+                own[at][side] = (token, len(text))
+        n = len(self.steps)
+        self.back = [0] * n
+        #: Tokens that end here, inside a word and at its end.
+        self.inner: list[tuple] = [()] * n
+        self.final: list[tuple] = [()] * n
+        line = list(self.steps[0].values())
+        for at in line:
+            for side, out in enumerate((self.inner, self.final)):
+                tail = out[self.back[at]]
+                out[at] = (own[at][side], *tail) if own[at][side] else tail
+            for letter, to in self.steps[at].items():
+                self.back[to] = self.step(self.back[at], letter)
+                line.append(to)
+        self.left = most_jumps
+
+    def step(self, at: int, letter: str) -> int:
+        while at and letter not in self.steps[at]:
+            at = self.back[at]
+        return self.steps[at].get(letter, 0)
+
+    def jump(self, at: int, letter: str) -> int:
+        """A step over failure links, remembered while there is room."""
+        to = self.step(at, letter)
+        if self.left:
+            self.left -= 1
+            self.steps[at][letter] = to
+        return to
 
-    A node is the dict of its children, and under the key "" the last token of its prefix.  Words
-    are inserted in sorted order, which walks the trie depth first: the path to the previous word
-    is kept on a stack, cut back to the common prefix, and only nodes that are new need a token.
-    """
 
-    def __init__(self, merges: Merges, end: str, most_nodes: int = 400_000):
+class TrieEncoder:
+    """Encodes sets of distinct words (already in byte letters)."""
+
+    def __init__(self, merges: Merges, end: str):
         self.m = merges
-        vocab = merges.vocab
-        self.inner = {t: k for t, k in vocab.items() if not t.endswith(end)}
-        self.final = {t[: -len(end)]: k for t, k in vocab.items() if t.endswith(end)}
-        self.size = {k: len(t) for t, k in self.inner.items()} | {k: len(t) for t, k in self.final.items()}
-        self.longest = max(self.size.values())
-        self.most = most_nodes
-        self.root: dict = {"": 0}
-        self.nodes = 1
-
-    def last(self, word: str, depth: int, states: list[int], tokens: dict[str, int]) -> tuple[int, int]:
-        """The last token of word[:depth] and where it starts, given those of shorter prefixes."""
-        pairs, stable = self.m.pairs, self.m.stable
-        for start in range(max(0, depth - self.longest), depth):
-            token = tokens.get(word[start:depth])
-            if token is not None:
-                if not start:
-                    return token, start
-                pair = (states[start], token)
-                known = pairs.get(pair)
-                if known or known is None and stable(*pair):
-                    return token, start
-        raise ValueError(f"no token ends at {word[:depth]!r}")
-
-    def encode(self, words) -> dict[str, list[int]]:
-        if self.nodes > self.most:
-            self.root, self.nodes = {"": 0}, 1
-        last, inner, final, size = self.last, self.inner, self.final, self.size
-        out: dict[str, list[int]] = {}
-        path, states, before = [self.root], [0], ""
+        inner = {t: k for t, k in merges.vocab.items() if not t.endswith(end)}
+        final = {t[: -len(end)]: k for t, k in merges.vocab.items() if t.endswith(end) and t != end}
+        self.size = {k: len(t) for t, k in inner.items()}
+        self.suffixes = Suffixes(inner, final)
+
+    def encode(self, words) -> list[tuple[str, list[int]]]:
+        """(word, ids) in sorted order."""
+        steps, jump, inner, final = self.suffixes.steps, self.suffixes.jump, self.suffixes.inner, self.suffixes.final
+        pairs, stable, size = self.m.pairs, self.m.stable, self.size
+        out: list[tuple[str, list[int]]] = []
+        # For every prefix of the word before: its last token and the automaton's state.
+        lasts, states, before = array("i", [0]), array("i", [0]), ""
         for word in sorted(words):
             n, keep = len(word), 0
-            most = min(n - 1, len(path) - 1)
-            while keep < most and word[keep] == before[keep]:
-                keep += 1
-            del path[keep + 1 :], states[keep + 1 :]
-            node = path[-1]
-            for depth in range(keep + 1, n):
+            most = min(n - 1, len(lasts) - 1)
+            if before[:most] == word[:most]:
+                keep = most
+            else:
+                while word[keep] == before[keep]:
+                    keep += 1
+            del lasts[keep + 1 :], states[keep + 1 :]
+            state = states[keep]
+            for depth in range(keep + 1, n + 1):
                 letter = word[depth - 1]
-                child = node.get(letter)
-                if child is None:
-                    node[letter] = child = {"": last(word, depth, states, inner)[0]}
-                    self.nodes += 1
-                node = child
-                path.append(node)
-                states.append(node[""])
-            token, at = last(word, n, states, final)
+                to = steps[state].get(letter)
+                state = jump(state, letter) if to is None else to
+                for token, length in inner[state] if depth < n else final[state]:
+                    start = depth - length
+                    if not start:
+                        break
+                    known = pairs.get(lasts[start] << 32 | token)
+                    if known or known is None and stable(lasts[start], token):
+                        break
+                else:
+                    raise ValueError(f"no token ends at {word[:depth]!r}")
+                if depth < n:
+                    lasts.append(token)
+                    states.append(state)
             ids = [token]
-            while at:
-                token = states[at]
+            while start:
+                token = lasts[start]
                 ids.append(token)
-                at -= size[token]
+                start -= size[token]
             ids.reverse()
-            out[word] = ids
+            out.append((word, ids))
             before = word
         return out
 
 
+class Encoded:
+    """Ids of words: places of words in one flat array.  ``new`` is swapped for ``old`` when full."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("q", [0])
+        self.old_flat, self.old_ends = self.flat, self.ends
+
+    def turn(self) -> None:
+        if len(self.new) > self.most // 2:
+            self.old, self.old_flat, self.old_ends = self.new, self.flat, self.ends
+            self.new, self.flat, self.ends = {}, array("i"), array("q", [0])
+
+    def put(self, word: str, ids) -> None:
+        self.new[word] = len(self.ends) - 1
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def fetch(self, words: set[str]) -> set[str]:
+        """Words that are in neither generation; those of the older one move to the newer."""
+        missing = words.difference(self.new)
+        kept = missing.intersection(self.old)
+        for word in kept:
+            at = self.old[word]
+            self.put(word, self.old_flat[self.old_ends[at] : self.old_ends[at + 1]])
+        return missing - kept
+
+
+def gather(flat: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` with the given numbers, one after another, and their n+1 ends."""
+    starts, sizes = ends[index], ends[index + 1] - ends[index]
+    to = np.zeros(len(index) + 1, np.int64)
+    np.cumsum(sizes, out=to[1:])
+    places = np.arange(to[-1]) + np.repeat(starts - to[:-1], sizes)
+    return flat[places], to
+
+
 class WordCoder:
-    """Normalises, splits, encodes and decodes whole texts as the vocabulary file prescribes."""
+    """Normalises, splits, encodes and decodes whole texts as the vocabulary file prescribes.
 
-    def __init__(self, json_path: str, cache: int = 450_000):
+    ``cache`` bounds the words whose ids a worker remembers, in two generations.
+    """
+
+    def __init__(self, json_path: str, cache: int = 900_000):
         import regex
 
         with open(json_path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.trie = TrieEncoder(Merges(model["vocab"], merges), self.end)
+        self.trie = TrieEncoder(Merges(model["vocab"], merges), model["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text = {k: t for t, k in model["vocab"].items()} | {k: t for t, k in self.special.items()}
+        text = {k: t for t, k in model["vocab"].items()} | {k: t for t, k in self.special.items()}
+        self.text = pa.array([text.get(k, "") for k in range(max(text) + 1)], pa.string())
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.pieces = regex.compile(split.replace(r"\s", SPACE), regex.V0)
+        # A line feed, which no chunk holds, is a piece of its own: many chunks are split in one call.
+        self.pieces = regex.compile("\n|" + split.replace(r"\s", SPACE), regex.V0)
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.mark = [s[:2] for s in self.special]
+        self.mark = re.compile("|".join(sorted({re.escape(s[:2]) for s in self.special})))
         self.odd = re.compile("[\x1c-\x1f]")
         self.gaps = re.compile(f"[{SPACE}]+")
         self.letters = dict(enumerate(byte_letters()))
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
-        self.most = cache
+        self.known = Encoded(cache)
 
     def split(self, text: str) -> list[str]:
         if self.odd.search(text):
             return [c for c in self.gaps.split(text) if c]
         return text.split()
 
-    def parts(self, chunk: str) -> list[str]:
-        """The words of a chunk without white space; a special token's string is kept as it is."""
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower()]
-        if any(m in chunk for m in self.mark):
-            out = []
+    def _pieces(self, joined: str) -> list[str]:
+        """The words of plain text, line feeds between them."""
+        if not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")
+        found, table = self.pieces.findall(joined.lower()), self.letters
+        return [p if p == "\n" or p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(table) for p in found]
+
+    def words(self, chunks: list[str], marked: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of all chunks, and the n+1 ends of each chunk's words.
+
+        In marked chunks a special token's string is a word as it stands.
+        """
+        found = self._pieces("\n".join(chunks))
+        at = np.flatnonzero(np.fromiter((p == "\n" for p in found), bool, len(found)))
+        flat = [p for p in found if p != "\n"]
+        ends = [np.zeros(1, np.int64), at - np.arange(len(at)), [len(flat)] if chunks else []]
+        for chunk in marked:
             for k, piece in enumerate(self.marks.split(chunk)):
-                out += [piece] if k % 2 else self._plain(piece)
-            return out
-        return self._plain(chunk)
-
-    def _plain(self, chunk: str) -> list[str]:
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        low = chunk.lower() if chunk.isascii() else "".join(map(str.lower, chunk))
-        table = self.letters
-        return [
-            p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(table)
-            for p in self.pieces.findall(low)
-        ]
-
-    def learn(self, chunks) -> None:
-        made = {c: self.parts(c) for c in chunks}
-        text, special = self.text, self.special
-        found = self.trie.encode({w for ws in made.values() for w in ws if w not in special})
-        found |= {w: [k] for w, k in special.items()}
-        for c, ws in made.items():
-            ids = found[ws[0]] if len(ws) == 1 else [k for w in ws for k in found[w]]
-            self.ids[c] = array("i", ids).tobytes()
-            self.decoded[c] = " ".join([text[k] for k in ids])
+                flat += [piece] if k % 2 else self._pieces(piece)
+            ends.append([len(flat)])
+        return flat, np.concatenate(ends).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one after another, and their n+1 ends."""
+        split = [self.split(t) for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        chunks = list(dict.fromkeys(chain.from_iterable(split)))
+        marked = [c for c in chunks if self.mark.search(c)]
+        if marked:
+            chunks = [c for c in chunks if not self.mark.search(c)]
+        number = dict(zip(chain(chunks, marked), range(len(chunks) + len(marked))))
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        del split, number
+        ends = np.zeros(len(texts) + 1, np.int64)
+        if not len(at):
+            return np.zeros(0, np.int32), ends
+        words, parts = self.words(chunks, marked)
+        self.known.turn()
+        for word in (fresh := self.known.fetch(set(words))).intersection(self.special):
+            self.known.put(word, (self.special[word],))
+        for word, ids in self.trie.encode(fresh.difference(self.special)):
+            self.known.put(word, ids)
+        own = np.fromiter(map(self.known.new.__getitem__, words), np.int64, len(words))
+        flat, stops = np.frombuffer(self.known.flat, np.int32), np.frombuffer(self.known.ends, np.int64)
+        by_word, word_ends = gather(flat, stops, own)
+        by_chunk, chunk_ends = gather(by_word, word_ends[parts], at)
+        del flat, stops
+        np.cumsum(sizes, out=ends[1:])
+        return by_chunk, chunk_ends[ends]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The decoded texts: the ids' strings, joined by one space each."""
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.text.take(pa.array(ids)))
+        return pc.binary_join(lists, " ")
 
     def code(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids (packed int32) and the decoded text of each text."""
-        split = [self.split(t) for t in texts]
-        seen = set().union(*split)
-        missing = seen.difference(self.ids)
-        if len(self.ids) + len(missing) > self.most:
-            self.ids.clear()
-            self.decoded.clear()
-            missing = seen
-        self.learn(missing)
-        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        return [(b"".join(map(ids, own)), " ".join(map(decoded, own))) for own in split]
+        ids, ends = self.encode(texts)
+        return [(ids[a:b].tobytes(), t) for a, b, t in zip(ends, ends[1:], self.decode(ids, ends).to_pylist())]
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -247,13 +345,9 @@ def encode_decode(docs: DataFrame, json_path: str) -> DataFrame:
     def run(batches):
         own = coder(json_path)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                coded = own.code(part.column("text").to_pylist())
-                ends = np.cumsum([0] + [len(c[0]) // 4 for c in coded]).astype(np.int32)
-                flat = np.frombuffer(b"".join(c[0] for c in coded), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c[1] for c in coded], pa.string())],
-                    names=["doc_id", "ids", "decoded"],
-                )
+            for part in slices(batch, "text", BATCH):
+                ids, ends = own.encode(part.column("text").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, own.decode(ids, ends)], names=["doc_id", "ids", "decoded"])
 
     return texts.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

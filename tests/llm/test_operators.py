@@ -213,6 +213,32 @@ def test_trie_bpe_equals_the_library(docs, empty):
     assert trie_bpe.encode_decode(empty, path).count() == 0
 
 
+def test_trie_bpe_bounds_its_memory():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    tool, coder = Tokenizer.from_file(path), trie_bpe.WordCoder(path, cache=40)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeé1'!"), rng.integers(1, 9))) for _ in range(300)]
+    for _ in range(20):  # words come back from both generations
+        text = " ".join(rng.choice(words, 30))
+        (ids, decoded), *_ = coder.code([text, "", "<|endoftext|>" + text])
+        want = tool.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, np.int32).tolist() == want and decoded == tool.decode(want, skip_special_tokens=False)
+    assert len(coder.known.old) <= 20 + 2 * 30 + 1
+    long = "".join(rng.choice(list("abcdefgh"), 1_000_000))
+    tracemalloc.start()
+    ((ids, _),) = coder.code([long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert tool.decode(np.frombuffer(ids, np.int32).tolist()).replace(" ", "").removesuffix("</w>") == long
+    ((ids, _),) = coder.code([long[:20_000]])
+    assert ids == np.array(tool.encode(long[:20_000], add_special_tokens=False).ids, np.int32).tobytes()
+
+
 def test_packing_keeps_every_token(docs, empty):
     from tokenizers import Tokenizer
 
