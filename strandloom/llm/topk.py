@@ -1,12 +1,16 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
 Vectors are held in blocks of bounded size.  In a block every dimension is a list of its vectors
-sorted by value; a query reads its lists in step, from the end that helps it, and keeps for each
-vector a lower and an upper bound of the score.  Reading stops when no vector outside a short
-candidate set can reach the k-th lower bound; the candidates' missing terms are then read.
+sorted by value; a query reads its lists in equal steps, from the end that helps it.  After each
+step every vector has a lower and an upper bound of its score: what was read in full, what was not
+read at the list's far end and at the place last read.  Reading stops when few vectors are left
+whose upper bound reaches the k-th best lower bound; their scores are then resolved.  All queries
+of a query block read in step, so a bound of all of them is a product of matrices.
 
-Query blocks meet vector blocks as a stated set against all rows; blocks and the k best of each
-block are bounded, and the final rank is a window whose group limit works before the shuffle.
+The k-th best resolved score of a query is carried from block to block, so that later blocks are
+left earlier.  Query blocks meet vector blocks as a stated set against all rows; blocks and the k
+best of each block are bounded, and the final rank is a window whose group limit works before the
+shuffle.
 
 Results for odd input: vectors that are null, or hold null, NaN or infinite components, take no
 part, nor do rows without an id; shorter vectors count as padded with zeros; an empty vector scores
@@ -19,10 +23,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK = 4096
-QUERY_BLOCK = 64
+QUERY_BLOCK = 256
+#: A block's bytes, which cut its rows where vectors are long.
+BLOCK_BYTES = 4 << 20
+#: Reading a whole list takes so many steps.
+STEPS = 16
+#: A block's first rows are read alone: their best scores are the first bar.
+PILOT = 512
+#: Rows whose bounds tell whether those of all rows are worth working out.
+PROBED = 512
+#: Query blocks whose best scores a task carries; others start each block without a bar.
+CARRIED = 1024
 LONG = np.iinfo(np.int64)
 
 
@@ -37,24 +52,33 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) ->
     )
 
 
-def _blocks(df: DataFrame, rows: int) -> DataFrame:
-    """Blocks of at most ``rows`` vectors: ids and a matrix of doubles, as bytes."""
+def _blocks(df: DataFrame, rows: int, shards: int) -> DataFrame:
+    """Blocks of at most ``rows`` vectors and BLOCK_BYTES (ids and a matrix of doubles, as bytes), dealt in turn."""
 
     def run(batches):
+        number = TaskContext.get().partitionId()
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                lists = part.column("v").to_pylist()
-                width = max(map(len, lists), default=0)
-                matrix = np.zeros((len(lists), width))
-                for k, values in enumerate(lists):
-                    matrix[k, : len(values)] = values
-                ids = np.array(part.column("vec_id").to_pylist(), np.int64)
+            lists = batch.column("v")
+            ends = np.asarray(lists.offsets)
+            values, ids = np.asarray(lists.values), np.asarray(batch.column("vec_id"))
+            most = max(1, min(rows, BLOCK_BYTES // (8 * max(1, int(np.diff(ends).max(initial=0))))))
+            for start in range(0, batch.num_rows, most):
+                at = ends[start : start + most + 1]
+                sizes = np.diff(at)
+                matrix = np.zeros((len(sizes), int(sizes.max(initial=0))))
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                matrix[row, np.arange(at[0], at[-1]) - np.repeat(at[:-1], sizes)] = np.floor(values[at[0] : at[-1]])
                 yield pa.RecordBatch.from_pydict(
-                    {"ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([np.floor(matrix).tobytes()], pa.binary()), "width": pa.array([width], pa.int32())}
+                    {
+                        "ids": pa.array([ids[start : start + most].astype(np.int64).tobytes()], pa.binary()),
+                        "matrix": pa.array([matrix.tobytes()], pa.binary()),
+                        "width": pa.array([matrix.shape[1]], pa.int32()),
+                        "shard": pa.array([number % shards], pa.int32()),
+                    }
                 )
+                number += 1
 
-    return df.mapInArrow(run, "ids binary, matrix binary, width int")
+    return df.mapInArrow(run, "ids binary, matrix binary, width int, shard int")
 
 
 class SortedLists:
@@ -63,61 +87,107 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids = ids
         self.matrix = matrix
-        self.order = np.argsort(matrix, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(matrix, self.order, axis=0)
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and integer scores of the k best, ties to smaller ids."""
+        self.sorted = np.sort(matrix, axis=0)
+        self.largest = np.abs(matrix).max(initial=0.0)
+        self.shift = int(np.frexp(self.largest)[1])
+        self.fractions: tuple[np.ndarray, np.ndarray] | None = None
+        self.read = 0  # places read of one list, summed over queries
+
+    def _fractions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Components and lists as fractions, for scores beyond exact doubles."""
+        if self.fractions is None:
+            self.fractions = np.ldexp(self.matrix, -self.shift), np.ldexp(self.sorted, -self.shift)
+        return self.fractions
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int, bars: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every query, rows and scores of its k best, ties to smaller ids.
+
+        ``bars`` are scores that k other vectors are known to reach.
+        """
         n, width = self.matrix.shape
-        rows = np.arange(n)
-        allowed = self.ids != own
-        wide = max(np.abs(self.matrix).max(initial=0.0), 1.0) * max(np.abs(query).max(initial=0.0), 1.0) * max(width, 1)
-        if wide < 2**52:
-            rows, scores = self._bounded(query, allowed, k)
-        else:  # beyond exact doubles: whole integers of any size
-            rows = rows[allowed]
-            q = [int(x) for x in query]
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2] * len(queries)
+        if not n:
+            return out
+        top = np.abs(queries).max(initial=0.0)
+        exact = float(max(self.largest, 1.0)) * float(max(top, 1.0)) * max(width, 1) < 2**52
+        slack, high, low, asked = 0.0, np.inf, -np.inf, queries
+        unit, ordered = self.matrix, self.sorted
+        if not exact:
+            unit, ordered = self._fractions()
+            shift = int(np.frexp(top)[1])
+            asked = np.ldexp(queries, -shift)
+            slack = width * (width + 8) * 2.0**-52
+            high, low = np.ldexp([float(LONG.max), float(LONG.min)], -shift - self.shift)
+            bars = np.ldexp(bars, -shift - self.shift)
+        live, rows, given = np.arange(len(queries)), np.arange(n), bool(np.isfinite(bars).all())
+        bars = np.minimum(bars - slack, high)
+        for step in range(1, STEPS + 1):
+            depth = -(-n * step // STEPS)
+            plus, minus = np.maximum(asked[live], 0.0), np.minimum(asked[live], 0.0)
+            down, up = ordered[n - depth], ordered[depth - 1]
+            if given and PROBED < len(rows) and depth < n:
+                x = unit[rows[:: len(rows) // PROBED]]
+                upper = plus @ np.maximum(x, down).T + minus @ np.minimum(x, up).T
+                # Bounds of all rows are worked out where those of a few say that reading may stop.
+                if np.median(np.mean(upper + slack >= bars[live][:, None], axis=1)) * len(rows) > 16 * k:
+                    continue
+            x = unit[rows]
+            upper = plus @ np.maximum(x, down).T + minus @ np.minimum(x, up).T
+            lower = plus @ np.where(x >= down, x, ordered[0]).T + minus @ np.where(x <= up, x, ordered[-1]).T
+            other = self.ids[rows][None, :] != own[live][:, None]
+            if len(rows) >= k:
+                kth = np.partition(np.where(other, lower, -np.inf), len(rows) - k, axis=1)[:, len(rows) - k]
+                bars[live] = np.maximum(bars[live], np.minimum(kth - slack, high))
+            open_ = other & (np.maximum(upper + slack, low) >= bars[live][:, None])
+            # Outsiders cannot qualify any more: what remains are candidates.
+            done = (open_.sum(axis=1) <= 4 * k) | (depth == n)
+            for q, mask in zip(live[done], open_[done]):
+                self.read += depth
+                out[q] = self._resolved(rows[mask], queries[q], k, exact)
+            live, open_ = live[~done], open_[~done]
+            if not len(live):
+                break
+            needed = open_.any(axis=0)
+            if needed.mean() < 0.8:
+                rows = rows[needed]
+        return out
+
+    def _resolved(self, rows: np.ndarray, query: np.ndarray, k: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+        if exact:
+            scores = np.rint(self.matrix[rows] @ query).astype(np.int64)
+        else:  # whole numbers of any size
+            q = [int(v) for v in query]
             scores = np.array([min(max(sum(int(a) * b for a, b in zip(self.matrix[r], q)), LONG.min), LONG.max) for r in rows], np.int64)
-        top = np.lexsort((self.ids[rows], -scores.astype(np.float64) if wide < 2**52 else _descending(scores)))[:k]
+        top = np.lexsort((self.ids[rows], ~scores))[:k]  # ~ turns the order of all longs around
         return rows[top], scores[top]
 
-    def _bounded(self, query: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n, width = self.matrix.shape
-        dims = np.flatnonzero(query)
-        weights = query[dims]
-        lower, upper_rest = np.zeros(n), np.zeros(n)
-        seen = np.zeros((n, len(dims)), bool)
-        partial = np.zeros(n)
-        backward = weights > 0
-        # What a list can still add to a vector not yet read in it, at worst.
-        floor = np.where(backward, self.sorted[0, dims], self.sorted[-1, dims]) * weights if n else weights * 0
-        depth, step = 0, max(8, n // 16)
-        columns = np.arange(len(dims))
-        while True:
-            to = min(n, depth + step)
-            place = np.arange(depth, to)[:, None]
-            place = np.where(backward[None, :], n - 1 - place, place)
-            row = self.order[place, dims[None, :]]
-            value = self.sorted[place, dims[None, :]] * weights[None, :]
-            seen[row, columns[None, :].repeat(to - depth, 0)] = True
-            partial += np.bincount(row.ravel(), value.ravel(), minlength=n)
-            depth = to
-            open_ = 1.0 - seen
-            lower = partial + open_ @ floor
-            last = value[-1] if len(value) else floor
-            upper = partial + open_ @ last
-            own = np.where(allowed, lower, -np.inf)
-            bar = np.partition(own, n - k)[n - k] if n > k else -np.inf
-            rows = np.flatnonzero(allowed & (upper >= bar))
-            # Outsiders cannot qualify any more: what remains are candidates.
-            if depth == n or len(rows) <= 4 * k:
-                missing = np.where(seen[rows], 0.0, self.matrix[np.ix_(rows, dims)])
-                return rows, np.rint(partial[rows] + missing @ weights).astype(np.int64)
-            step *= 2
+
+class Carried:
+    """The k best scores so far of the queries that a task has met."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.held: dict[bytes, np.ndarray] = {}
+
+    def bars(self, block: bytes, size: int) -> np.ndarray:
+        return self.held[block].min(axis=1) if block in self.held else np.full(size, -np.inf)
+
+    def add(self, block: bytes, found: list) -> None:
+        if block not in self.held:
+            if len(self.held) >= CARRIED:
+                return
+            self.held[block] = np.full((len(found), self.k), -np.inf)
+        best = np.full((len(found), self.k), -np.inf)
+        for row, (_, scores) in zip(best, found):
+            row[: len(scores)] = scores
+        best = np.concatenate([self.held[block], best], axis=1)
+        self.held[block] = np.partition(best, self.k, axis=1)[:, self.k :]
 
 
-def _descending(scores: np.ndarray) -> np.ndarray:
-    return np.unique(-(scores.astype(object)), return_inverse=True)[1]
+def _padded(matrix: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(matrix), width))
+    out[:, : min(width, matrix.shape[1])] = matrix[:, :width]
+    return out
 
 
 def top_k(
@@ -134,34 +204,34 @@ def top_k(
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = integer_vectors(vectors, id_col, vector_col, scale)
     asked = integer_vectors(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    stored = _blocks(every, block).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
+    stored = _blocks(every, block, shards).repartition(shards, "shard")
     asked = (
-        _blocks(asked, QUERY_BLOCK)
+        _blocks(asked, QUERY_BLOCK, 1)
         .select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("width").alias("q_width"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        .repartition(shards, "shard")
     )
     pairs = stored.join(asked, "shard").select("ids", "matrix", "width", "q_ids", "q_matrix", "q_width")
 
     def run(batches):
-        held: tuple[bytes, SortedLists] | None = None
+        carried = Carried(k)
+        held: tuple[bytes, list[SortedLists]] | None = None
         for batch in batches:
             for row in range(batch.num_rows):
                 raw, data, width, q_raw, q_data, q_width = (batch.column(c)[row].as_py() for c in range(6))
                 if held is None or held[0] != raw:
                     ids = np.frombuffer(raw, np.int64)
-                    held = (raw, SortedLists(ids, np.frombuffer(data, np.float64).reshape(len(ids), width)))
-                lists = held[1]
+                    matrix = np.frombuffer(data, np.float64).reshape(len(ids), width)
+                    held = (raw, [SortedLists(ids[part], matrix[part]) for part in (slice(PILOT), slice(PILOT, None))])
                 q_ids = np.frombuffer(q_raw, np.int64)
-                asked_for = np.frombuffer(q_data, np.float64).reshape(len(q_ids), q_width)
-                share = np.zeros((len(q_ids), width))
-                share[:, : min(width, q_width)] = asked_for[:, : min(width, q_width)]
-                out: list[list[np.ndarray]] = [[], [], []]
-                for q, query in zip(q_ids, share):
-                    found, scores = lists.best(query, q, k)
-                    out[0].append(np.full(len(found), q))
-                    out[1].append(lists.ids[found])
-                    out[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", "vec_id", "score"])
+                share = _padded(np.frombuffer(q_data, np.float64).reshape(len(q_ids), q_width), width)
+                for lists in held[1]:
+                    found = lists.best(share, q_ids, k, carried.bars(q_raw, len(q_ids)))
+                    carried.add(q_raw, found)
+                    sizes = [len(rows) for rows, _ in found]
+                    places, scores = (np.concatenate(x) for x in zip(*found))
+                    columns = np.repeat(q_ids, sizes), lists.ids[places], scores
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))

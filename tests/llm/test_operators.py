@@ -44,6 +44,50 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.where("vec_id < 0"), df, 5).count() == 0
 
 
+def test_top_k_bounds_stop_early_and_stay_exact():
+    rng = np.random.default_rng(5)
+    x = np.floor(1024 * rng.normal(size=(6000, 6)))
+    x[10] = x[11] = x[12]
+    ids, queries = np.arange(6000), x[::100]
+    carried, reads = topk.Carried(10), []
+    best = [[] for _ in queries]
+    for start in (0, 3000):
+        lists = topk.SortedLists(ids[start : start + 3000], x[start : start + 3000])
+        found = lists.best(queries, ids[::100], 10, carried.bars(b"q", len(queries)))
+        carried.add(b"q", found)
+        reads.append(lists.read / len(queries) / 3000)
+        for all_, (rows, scores) in zip(best, found):
+            all_ += [(-s, lists.ids[r]) for r, s in zip(rows, scores)]
+    for i, (q, got) in enumerate(zip(queries, best)):
+        want = sorted((-int(s), k) for k, s in enumerate(x @ q) if k != 100 * i)[:10]
+        assert sorted(got)[:10] == want
+    # A bar from the first block lets reading stop sooner in the second.
+    assert reads[1] < reads[0] < 0.9
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**40, 2.0**500])
+def test_top_k_beyond_exact_doubles(scale):
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(size=(700, 4)) * 1000) * scale
+    x[3], x[5] = x[4], 0.0
+    lists = topk.SortedLists(np.arange(700)[::-1], x)
+    clip = lambda v: min(max(v, -(2**63)), 2**63 - 1)
+    found = lists.best(x[:40], np.arange(40), 7, np.full(40, -np.inf))
+    for q, (rows, scores) in enumerate(found):
+        exact = [clip(sum(int(a) * int(b) for a, b in zip(r, x[q]))) for r in x]
+        want = sorted((-e, int(i)) for e, i in zip(exact, lists.ids) if i != q)[:7]
+        assert [(-int(s), int(lists.ids[r])) for r, s in zip(rows, scores)] == want
+
+
+def test_top_k_repeated_rows_and_clashing_columns(spark):
+    data = [(i % 4, [float(i % 4), 1.0], "x", 1, 2) for i in range(8)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, shard string, score long, rank long")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id = 3"), 10).orderBy("rank").collect()]
+    one = 1024 * 1024
+    want = [(2, 7 * one), (2, 7 * one), (1, 4 * one), (1, 4 * one), (0, one), (0, one)]
+    assert got == [(3, k + 1, i, s) for k, (i, s) in enumerate(want)]
+
+
 def test_pii_is_consistent_and_distinct(spark, empty):
     texts = ["Mail ann.1@mail.example.com or ANN.1@MAIL.EXAMPLE.COM", "Call +1 (974) 555-3436, card 4111 1111 1111 1111, host 10.1.2.3", "ann.1@mail.example.com", "Mrs. Anna Schmidt and Mr Bob Roth. Госпожа Анна Петрова", None, "", "none"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "10.1.2.3"), (2, texts[2])], "doc_id long, text string")
