@@ -34,7 +34,7 @@ INF = 1 << 60
 #: Unicode white space, as the vocabulary's patterns see it (no file or group separators).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of text that share one trie.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -241,7 +241,7 @@ class WordCoder:
     ``cache`` bounds the words whose ids a worker remembers, in two generations.
     """
 
-    def __init__(self, json_path: str, cache: int = 900_000):
+    def __init__(self, json_path: str, cache: int = 700_000):
         import regex
 
         with open(json_path, encoding="utf-8") as f:
