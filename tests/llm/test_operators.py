@@ -345,6 +345,101 @@ def test_unwanted_elements_end_where_they_end(inner):
     assert got.removeprefix("text\n\n") == f"{tail}\n\n{tail} Twice."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><p class='share'>Share<p>{0}<p>{1}</body>",
+        "<body><ul><li class='tags'>a, b</ul><p>{0}</p><p>{1}</p></body>",
+        "<body><div class='comments'><script>var a='<div>';</script></div><article><p>{0}</p><p>{1}</p></article></body>",
+        "<body><div class='layout with-sidebar'><p>{0}</p><p>{1}</p></div><div class='sidebar'>Short, news</div></body>",
+        "<body><div class='sidebar-right'><div class=a><p>{0}</p><p>{1}</p></div><div id=sidebar>News</div></div></body>",
+        "<body><article><header class='entry-header'>{0}</header><p>{1}</p></article><div class=comments><p>{0} {0} {0} {1} {1}</p></div></body>",
+        "<body><article><p>{0}</p><p>{1}</p></article><aside><article>Teaser, one</article></aside></body>",
+        "<body><nav>a</nav><div><p>{0}</p><div class=ad>Buy, buy, buy</div><p>{1}</p></div></body>",
+    ],
+)
+def test_pages_keep_their_article(page):
+    first, second = "The first paragraph, which is long enough, holds a sentence.", "And a second one, with commas, follows it to the end."
+    assert html_extract.main_text(page.format(first, second)) == f"{first}\n\n{second}"
+
+
+def test_words_in_sentences_stay():
+    page = "<body><article><p>Call <span class='comment'>this word</span> a remark, <em class='notice'>please</em>.</p><p>Then go on, slowly.</p></article></body>"
+    assert html_extract.main_text(page) == "Call this word a remark, please.\n\nThen go on, slowly."
+
+
+def test_depth_costs_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert html_extract.main_text("<div>" * n + "<p>Text, long, here.</p>" + "<b><i>x</i>" * n + "</div>" * n) != ""
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(32000) for _ in range(3)) < 24 * min(seconds(4000) for _ in range(3))
+
+
+def naive_text(html):
+    """The scoring by walks over all ancestors of all blocks."""
+    nodes, found = html_extract.blocks(html)
+    up = lambda n: [n] + up(n.parent) if n else []
+    plain = lambda n: sum(len(t) - i for b, t, i in found if n in up(b))
+    whole = lambda n: any(m.tag in ("article", "main") and n in up(m) for m in nodes)
+    remarks = [n for n in nodes if n.suspect == "comment" and not whole(n)]
+    total = sum(len(t) - i for b, t, i in found if not set(remarks) & set(up(b)))
+
+    def holds(n):
+        most = 2 * plain(n) > total
+        return {"": True, "comment": whole(n) and most, "form": whole(n) or most}.get(n.suspect, most)
+
+    found = [f for f in found if all(holds(n) for n in up(f[0]))]
+    if not found:
+        return ""
+    points, size, linked = {}, {}, {}
+    for b, t, i in found:
+        worth = (1.0 + t.count(",") + min(len(t) / 100.0, 3.0)) * (1.0 - i / len(t))
+        first = b if b.tag in ("div", "section", "article", "main", "body", "td", "") else b.parent
+        level = 0
+        for n in up(first):
+            points[n] = points.get(n, 0.0) + worth / 2.0**level
+            size[n], linked[n] = size.get(n, 0) + len(t), linked.get(n, 0) + i
+            level += n.tag not in html_extract.INLINE
+    density = lambda n: linked.get(n, 0) / size[n] if n in size else 0.0
+    final = lambda n: (n.score + points.get(n, 0.0)) * (1.0 - density(n))
+    best = max((n for n in nodes if n in points), key=lambda n: round(final(n), 6))
+    while best.parent and best.parent.tag in ("article", "main"):
+        best = best.parent
+    if best.article and best.tag not in ("article", "main"):
+        best = next((n for n in up(best) if n.tag == "article"), best)
+    bar = max(10.0, 0.2 * final(best))
+
+    def belongs(b, t, i):
+        if best in up(b) or b.parent is best.parent and b.tag == "p" and len(t) > 80 and i / len(t) < 0.25:
+            return True
+        return any(n.parent is best.parent and best.parent and final(n) >= bar and density(n) < 0.3 for n in up(b))
+
+    return "\n\n".join(t for b, t, i in found if belongs(b, t, i))
+
+
+def test_single_passes_equal_walks_over_ancestors():
+    rng = np.random.default_rng(8)
+    tags = ["div", "p", "article", "section", "form", "ul", "li", "b", "a href=x", "div class=sidebar", "div class=comments", "div class='content'", "p class=ad", "td", "main"]
+    for _ in range(150):
+        html, open_ = "", []
+        for _ in range(rng.integers(3, 40)):
+            kind = rng.integers(3)
+            if kind == 0:
+                tag = str(rng.choice(tags))
+                html += f"<{tag}>"
+                open_.append(tag.split()[0])
+            elif kind == 1 and open_:
+                html += f"</{open_.pop()}>"
+            else:
+                html += "word, and more " * int(rng.integers(1, 9))
+        assert html_extract.main_text(html) == naive_text(html), html
+
+
 def test_formulas_stay_and_small_forms_go():
     page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, then stop.</p><form><p>Your name</p></form></article></body>"
     assert html_extract.main_text(page) == "Let x=2, then stop."
