@@ -6,6 +6,9 @@ import math
 
 import numpy as np
 
+#: The shortest signal that is searched.
+LEAST = 20
+
 
 def smooth(x: np.ndarray, length: int = 11, kind: str = "hanning") -> np.ndarray:
     """Window mean over the mirrored signal; as long as ``x`` plus one, one place late."""
@@ -28,18 +31,21 @@ def split_point(x: np.ndarray) -> tuple[float, int]:
     return float(error[best]), int(at[best])
 
 
-def rank_test(x: np.ndarray, y: np.ndarray) -> float:
-    """Mann-Whitney p-value (one side, continuity and tie correction)."""
+def rank_test(x: np.ndarray, y: np.ndarray, alternative: str = "two-sided", continuity: bool = True) -> tuple[float, float]:
+    """Mann-Whitney: U of the second sample and the p-value by the normal approximation, ties corrected."""
     both = np.concatenate([x, y])
-    values, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
+    _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
     ranks = (np.cumsum(counts) - (counts - 1) / 2.0)[inverse]
     n1, n2, n = len(x), len(y), len(both)
     u1 = n1 * n2 + n1 * (n1 + 1) / 2.0 - ranks[:n1].sum()
+    u2 = n1 * n2 - u1
     ties = 1.0 - float((counts.astype(float) ** 3 - counts).sum()) / (n**3 - n)
     spread = math.sqrt(ties * n1 * n2 * (n + 1) / 12.0)
     if not spread:
-        return 1.0
-    return 0.5 * math.erfc((max(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / spread / math.sqrt(2.0))
+        raise ValueError("all values are equal")
+    middle = n1 * n2 / 2.0 + (0.5 if continuity else 0.0)
+    z = {"less": u1 - middle, "greater": u2 - middle, "two-sided": abs(max(u1, u2) - middle)}[alternative] / spread
+    return float(u2), (2.0 if alternative == "two-sided" else 1.0) * 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
 def step_test(a: np.ndarray, i: int) -> float:
@@ -48,10 +54,10 @@ def step_test(a: np.ndarray, i: int) -> float:
     left, right = left[:-1][np.diff(left) != 0], right[:-1][np.diff(right) != 0]
     if not len(left) or not len(right) or len(np.unique(np.concatenate([left, right]))) == 1:
         return 1.0
-    return rank_test(left, right)
+    return rank_test(left, right)[1]
 
 
-def change_points(a: np.ndarray, pvalue: float = 0.05, fold: float = 0.8, least: int = 20, window: int = 11, kind: str = "hanning", compat: bool = False) -> list[dict]:
+def change_points(a: np.ndarray, pvalue: float = 0.05, fold: float = 0.8, least: int = LEAST, window: int = 11, kind: str = "hanning", compat: bool = False) -> list[dict]:
     """Places where the level changes: index, extent of the slope, p-value, fold change, sign.
 
     With ``compat`` the start and end of a change leave out the segment's offset.
@@ -59,7 +65,7 @@ def change_points(a: np.ndarray, pvalue: float = 0.05, fold: float = 0.8, least:
     a = np.asarray(a, float)
     if len(a) < window:
         return []
-    slope = np.sign(np.gradient(smooth(a, window, kind)))
+    slope: np.ndarray | None = None
     out: list[dict] = []
     todo = [(0, len(a))]
     while todo:  # preorder: a segment, then its left and its right part
@@ -76,6 +82,8 @@ def change_points(a: np.ndarray, pvalue: float = 0.05, fold: float = 0.8, least:
         small, large = sorted((part[:i].mean(), part[i:].mean()))
         if small / large >= fold:
             continue
+        if slope is None:
+            slope = np.sign(np.gradient(smooth(a, window, kind)))
         at = low + i
         sign = slope[at]
         if not sign:
@@ -86,7 +94,7 @@ def change_points(a: np.ndarray, pvalue: float = 0.05, fold: float = 0.8, least:
         while at + k < len(slope) and slope[at + k] == sign:
             k += 1
         base = i if compat else at
-        out.append({"pos": at, "start": base - j, "end": base + k, "dist_left": j, "dist_right": k, "pvalue": p, "foldchange": small / large, "sign": int(sign)})
+        out.append({"index": at, "pos": at, "start": base - j, "end": base + k, "dist_left": j, "dist_right": k, "pvalue": p, "foldchange": small / large, "sign": int(sign)})
         if at + k < high:
             todo.append((at + k, high))
         if i - j > 0:

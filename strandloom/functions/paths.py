@@ -6,7 +6,6 @@ Node 0 is the source, node 1 the sink, k-mers follow in order of discovery; ties
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 SOURCE, SINK = 0, 1
@@ -123,8 +122,12 @@ def unimodal_maximum(f, low: int, high: int) -> tuple[int | None, float]:
     return best, value(best)
 
 
-def choose_k(paths: list, kmax: int = 0) -> tuple[int, list[dict]]:
-    """The k with most reachable k-mers and a row of figures for every k that was tried."""
+def choose_k(paths: list, kmax: int = 0, loss_threshold: float | None = None) -> tuple[int, list[dict]]:
+    """The k with most reachable k-mers and a row of figures for every k that was tried.
+
+    With a ``loss_threshold``, a k whose unreachable k-mers hold a larger share of expression counts
+    like a graph without a path.
+    """
     longest = max((len(p[0]) for p in paths), default=0)
     top = min(longest, kmax) if kmax else longest
     rows: list[dict] = []
@@ -132,9 +135,9 @@ def choose_k(paths: list, kmax: int = 0) -> tuple[int, list[dict]]:
     def tried(k: int) -> int:
         g = kmer_graph(paths, k)
         total = sum(g.weight[n] for n in g.live - {SOURCE, SINK})
-        lost = sum(paths[i][1] for i in g.short) + g.lost_weight
+        lost = g.lost_weight
         rows.append({"k": k, "kmax": top, "transfrags": len(paths), "kmers": len(g.live - {SOURCE, SINK}), "short_transfrags": len(g.short), "lost_kmers": g.lost_kmers, "tot_expr": total, "lost_expr": lost, "lost_expr_frac": lost / total if total else 0.0, "valid": int(g.valid)})
-        return score(g, k)
+        return -k if loss_threshold is not None and lost > loss_threshold * total else score(g, k)
 
     k, _ = unimodal_maximum(tried, 1, top) if top else (0, 0)
     return k or 0, rows
@@ -227,12 +230,11 @@ def widest_paths(g: KmerGraph, path_frac: float = 0.0, max_paths: int = 0) -> li
     return out
 
 
-def exons_of(path: list[int], g: KmerGraph, intervals: dict, minus: bool) -> list[tuple[int, int]]:
+def exons_of(path: list[int], g: KmerGraph, minus: bool) -> list[tuple[int, int]]:
     """Exons of a k-mer path: its nodes in genome order, neighbours that touch joined."""
     nodes = list(g.names[path[1]]) + [g.names[n][-1] for n in path[2:-1]]
     merged: list[tuple[int, int]] = []
-    for node in reversed(nodes) if minus else nodes:
-        start, end = intervals[node]
+    for start, end in reversed(nodes) if minus else nodes:
         if merged and merged[-1][1] == start:
             merged[-1] = (merged[-1][0], end)
         else:
@@ -268,82 +270,18 @@ def gene_clusters(paths: list[tuple[tuple, float]], min_frac: float = 0.0) -> tu
     return genes, dropped
 
 
-def graph_nodes(transfrags: list[dict]) -> tuple[list[tuple], list[tuple]]:
-    """Nodes of the splice graph of transfrags (exons, expr), and each one's nodes in genome order."""
-    cuts = sorted({p for t in transfrags for p in (t["exons"][0][0], t["exons"][-1][1])} & _ends(transfrags) | {p for t in transfrags for (a, b), (c, d) in zip(t["exons"], t["exons"][1:]) for p in (b, c)} | _zeros(transfrags))
-    walks = []
-    for t in transfrags:
-        hit = dict.fromkeys(i for s, e in t["exons"] for i in range(bisect_right(cuts, s) - 1, bisect_left(cuts, e)))
-        walks.append(tuple((cuts[i], cuts[i + 1]) for i in hit))
-    return list(zip(cuts, cuts[1:])), walks
-
-
-def components(transfrags: list[dict]) -> list[list[dict]]:
-    """Transfrags of each weakly connected component of a splice graph, in order of their nodes."""
-    nodes, walks = graph_nodes(transfrags)
-    up = {n: n for n in nodes}
-
-    def top(n: tuple) -> tuple:
-        while up[n] != n:
-            up[n] = n = up[up[n]]
-        return n
-
-    for walk in walks:
-        for a, b in zip(walk, walk[1:]):
-            low, high = sorted((top(a), top(b)))
-            up[high] = low
-    parts: dict[tuple, list[dict]] = {}
-    for t, walk in zip(transfrags, walks):
-        if walk:
-            parts.setdefault(top(walk[0]), []).append(t)
-    return [parts[n] for n in sorted(parts)]
-
-
-def graph_paths(transfrags: list[dict], minus: bool) -> tuple[list[tuple[tuple, float, bool, bool]], list[tuple]]:
-    """(nodes, expression, starts, stops) of every transfrag in order of transcription; the graph's nodes."""
-    nodes, walks = graph_nodes(transfrags)
-    walks = [w[::-1] for w in walks] if minus else walks
-    into = {b for w in walks for b in w[1:]}
-    out = {a for w in walks for a in w[:-1]}
-    return [(w, t["expr"], w[0] not in into, w[-1] not in out) for w, t in zip(walks, transfrags) if w], nodes
-
-
-def assemble(transfrags: list[dict], minus: bool, isoform_frac: float = 0.05, max_isoforms: int = 0, kmax: int = 0, path_frac: float = 0.0, max_paths: int = 0) -> list[dict]:
-    """Isoforms of one splice graph component from transfrags (exons, expr)."""
-    paths, nodes = graph_paths(transfrags, minus)
-    k, _ = choose_k(paths, kmax)
-    if not k:
-        return []
-    g = kmer_graph(paths, k)
-    if not g.valid:
-        return []
+def assemble(paths: list[tuple[tuple, float, bool, bool]], minus: bool, isoform_frac: float = 0.05, max_isoforms: int = 0, kmax: int = 0, path_frac: float = 0.0, max_paths: int = 0, loss_threshold: float | None = None) -> tuple[list[dict], list[dict]]:
+    """Isoforms of the paths of one splice graph, whose nodes are intervals; the rows of the choice of k."""
+    k, tried = choose_k(paths, kmax, loss_threshold)
+    g = kmer_graph(paths, k) if k else None
+    if g is None or not g.valid:
+        return [], tried
     rescue(g, paths)
     smooth(g)
-    intervals = {n: n for n in nodes}
-    found = [(tuple(exons_of(p, g, intervals, minus)), e) for p, e in widest_paths(g, path_frac, max_paths)]
+    found = [(tuple(exons_of(p, g, minus)), e) for p, e in widest_paths(g, path_frac, max_paths)]
     rows = []
     for number, gene in enumerate(gene_clusters(found, isoform_frac)[0]):
         best = gene["paths"][0][1]
         for rank, (exons, expr) in enumerate(gene["paths"][: max_isoforms or None]):
             rows.append({"gene": number, "rank": rank, "exons": exons, "expr": expr, "rel_frac": expr / best if best else 0.0, "abs_frac": expr / gene["expr"]})
-    return rows
-
-
-def _ends(transfrags: list[dict]) -> set[int]:
-    """The outermost ends, which bound the graph."""
-    return {min(t["exons"][0][0] for t in transfrags), max(t["exons"][-1][1] for t in transfrags)}
-
-
-def _zeros(transfrags: list[dict]) -> set[int]:
-    """Where the coverage starts or stops."""
-    edges: dict[int, float] = {}
-    for t in transfrags:
-        for s, e in t["exons"]:
-            edges[s] = edges.get(s, 0) + 1
-            edges[e] = edges.get(e, 0) - 1
-    level, out = 0, set()
-    for pos in sorted(edges):
-        if (level == 0) != (level + edges[pos] == 0):
-            out.add(pos)
-        level += edges[pos]
-    return out
+    return rows, tried

@@ -7,7 +7,9 @@ only islands, not intervals, meet in a sequence's window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 TILE = 4096
 
@@ -87,14 +89,70 @@ def nearest(queries: DataFrame, targets: DataFrame, side: str, n: int = 1, max_d
     """The ``n`` nearest targets before or after each query's ``pos``, less than ``max_dist`` away.
 
     Before: end <= pos - 1, distance pos - 1 - end.  After: start >= pos + 1, distance
-    start - (pos + 1).  Bins as wide as ``max_dist`` make it an equality join of two bins.
+    start - (pos + 1).  Distinct edges of a sequence are numbered (inside bins, shifted by the counts of
+    the bins before); a query knows the number of the last edge within its limit, so its candidates are
+    the edges of the ``n`` numbers up to it, and of each edge the first ``n`` targets: at most n * n a
+    query, however many targets a place holds.
     """
-    edge = F.col("end") if side == "before" else F.col("start")
-    distance = F.col("pos") - 1 - edge if side == "before" else edge - (F.col("pos") + 1)
-    bin_of = F.floor(F.col("pos") / max_dist)
-    near = F.array(bin_of, bin_of - 1) if side == "before" else F.array(bin_of, bin_of + 1)
-    q = queries.withColumn("_bin", F.explode(near))
-    t = targets.withColumn("_bin", F.floor(edge / max_dist))
-    hits = q.join(t, [key, "_bin"]).withColumn("distance", distance).where((F.col("distance") >= 0) & (F.col("distance") < max_dist)).drop("_bin")
-    order = Window.partitionBy(query).orderBy("distance", *[c for c in targets.columns if c != key])
+    sign = 1 if side == "before" else -1
+    edge = F.col("end") if side == "before" else -F.col("start")
+    others = [c for c in targets.columns if c != key]
+    t = targets.withColumn("_edge", edge.cast("long"))
+    t = t.withColumn("_of", F.row_number().over(Window.partitionBy(key, "_edge").orderBy(*others))).where(F.col("_of") <= n).drop("_of")
+    q = queries.withColumn("_limit", sign * F.col("pos").cast("long") - 1)
+    edges = t.select(key, F.col("_edge").alias("_at"), F.lit(0).alias("_asks")).distinct()
+    limits = q.select(key, F.col("_limit").alias("_at"), F.lit(1).alias("_asks")).distinct()
+    places = edges.unionByName(limits).withColumn("_bin", F.floor(F.col("_at") / TILE))
+    inside = F.sum(1 - F.col("_asks")).over(Window.partitionBy(key, "_bin").orderBy("_at", "_asks"))
+    before = F.sum("_sum").over(Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    shift = places.groupBy(key, "_bin").agg(F.sum(1 - F.col("_asks")).alias("_sum")).select(key, "_bin", F.coalesce(before, F.lit(0)).alias("_shift"))
+    numbers = places.withColumn("_in", inside).join(shift, [key, "_bin"]).select(key, "_at", "_asks", (F.col("_in") + F.col("_shift")).alias("_number"))
+    # The edges that a limit may reach, of the n numbers up to its own.
+    ask = numbers.where("_asks = 1").select(key, F.col("_at").alias("_limit"), F.explode(F.sequence(F.col("_number") - (n - 1), F.col("_number"))).alias("_number"))
+    near = ask.join(numbers.where("_asks = 0").select(key, F.col("_at").alias("_edge"), "_number"), [key, "_number"])
+    near = near.withColumn("distance", F.col("_limit") - F.col("_edge")).where(F.col("distance") < max_dist).drop("_number")
+    hits = q.join(near, [key, "_limit"]).join(t, [key, "_edge"]).drop("_limit", "_edge")
+    order = Window.partitionBy(query).orderBy("distance", *others)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def nearest_interval(queries: DataFrame, targets: DataFrame, side: str, n: int = 1, max_dist: int = 2500, key: str = "seqid", query: str = "q") -> DataFrame:
+    """Nearest targets of query intervals: before, after, or by their strand upstream, downstream.
+
+    Upstream is before, and after on the minus strand; downstream the other way round.  Query columns
+    start and end become q_start and q_end.
+    """
+    q = queries.withColumnsRenamed({"start": "q_start", "end": "q_end"})
+    if side in ("before", "after"):
+        return nearest(q.withColumn("pos", F.col("q_start" if side == "before" else "q_end")), targets, side, n, max_dist, key, query)
+    minus = F.coalesce(F.col("strand") == "-", F.lit(False))
+    first, second = ("after", "before") if side == "upstream" else ("before", "after")
+    parts = []
+    for mask, way in ((minus, first), (~minus, second)):
+        part = q.where(mask).withColumn("pos", F.col("q_start" if way == "before" else "q_end"))
+        parts.append(nearest(part, targets, way, n, max_dist, key, query))
+    return parts[0].unionByName(parts[1])
+
+
+def in_order(df: DataFrame, key: str = "seqid") -> DataFrame:
+    """Intervals in the order of sequence, start and end, range-partitioned."""
+    order = [key, "start", "end", *[c for c in df.columns if c not in (key, "start", "end")]]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def located(df: DataFrame, spans: DataFrame, columns: list[str], key: str = "seqid") -> DataFrame:
+    """Rows with ``columns`` of the span (locus, cluster) that holds their start."""
+    at = df.withColumn("_end", F.col("end")).withColumn("end", F.col("start") + 1)
+    hit = overlap_join(at, spans, key).withColumn("end", F.col("_end"))
+    return hit.select(*df.columns, *[F.col(f"r_{c}").alias(c) for c in columns])
+
+
+def write_located(df: DataFrame, path: str, buckets: int = 256) -> None:
+    """Rows with a ``locus_id``, in folders by its hash: reading one locus opens one of them."""
+    df.withColumn("bucket", F.pmod(F.crc32(F.col("locus_id").cast("binary")), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def read_locus(spark: SparkSession, path: str, locus_id: str, buckets: int = 256) -> DataFrame:
+    """The rows of one locus, from one folder."""
+    bucket = zlib.crc32(locus_id.encode()) % buckets
+    return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("locus_id") == locus_id)).drop("bucket")

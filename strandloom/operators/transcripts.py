@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def transfrags(exons: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a transcript: sorted exons, start, end, length and summed expression."""
-    t = exons.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"), F.sum("expr").alias("expr"))
+def transfrags(exons: DataFrame, keys: list[str], total: Column | None = None) -> DataFrame:
+    """One row a transcript: sorted exons, start, end, length and summed expression (or ``total``)."""
+    expr = F.sum("expr") if total is None else total
+    t = exons.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"), expr.alias("expr"))
     length = F.aggregate("exons", F.lit(0).cast("long"), lambda a, e: a + (e["end"] - e["start"]).cast("long"))
     return t.select(*keys, F.col("exons")[0]["start"].alias("start"), F.element_at("exons", -1)["end"].alias("end"), length.alias("length"), "expr", "exons")
 

@@ -11,10 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .durable import cut
+from .functions import arrays
 from .operators import coverage, graphs, intervals, signals, splice, statistics, transcripts
 from .plans import assembly
 from .shipping import ship
-from .sources import text
+from .sources import ingest, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,8 +60,9 @@ def tx_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pos = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), pos.cast("long").alias("pos"), "value")
+    rows = _table(spark, sf_dir, "events").withColumn("block", F.floor(F.col("event_id") / 4096))
+    rows = ingest.numbered_in(rows, ["event_type"], "block", ["event_id"], "n")
+    return rows.select(F.col("event_type").alias("key"), (F.col("n") - 1).cast("long").alias("pos"), "value")
 
 
 def query(sql: str | None = None):
@@ -106,10 +109,28 @@ def coverage_bedgraph(spark, d):
 @query(f"WITH {EXONS}, {_RUNS} SELECT seqid, strand, CAST(sum((\"end\" - start) * value) AS DOUBLE) AS area, max(value) AS peak FROM runs GROUP BY seqid, strand")
 def coverage_from_bedgraph(spark, d):
     level = coverage.runs(exons(spark, d), ["seqid", "strand"])
-    again = coverage.runs(level, ["seqid", "strand"], "value")
+    named = level.withColumn("seqid", F.concat_ws(" ", "seqid", "strand"))
+    lines = named.select(F.translate(text.bedgraph_line(), " ", "/").alias("value")).unionByName(spark.createDataFrame([("track type=bedGraph",), ("# comment",), ("broken line",)], "value string"))
+    again = coverage.runs(text.parse_bedgraph(lines), ["seqid"], "value")
+    at = F.split("seqid", "/")
+    again = again.select(at[0].cast("long").alias("seqid"), at[1].alias("strand"), "start", "end", "value")
     return again.groupBy("seqid", "strand").agg(F.sum((F.col("end") - F.col("start")) * F.col("value")).alias("area"), F.max("value").alias("peak"))
 
 
+_FRACTION = """fx AS (SELECT l_partkey AS seqid, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS start,
+CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) + CAST(l_quantity AS BIGINT) AS "end", l_extendedprice * l_discount AS v FROM lineitem WHERE l_extendedprice * l_discount <> 0),
+fe AS (SELECT seqid, start AS pos, v AS d, 1 AS n FROM fx UNION ALL SELECT seqid, "end", -v, -1 FROM fx), fs AS (SELECT seqid, pos, sum(d) AS d, sum(abs(d)) AS a, sum(n) AS n FROM fe GROUP BY ALL),
+fl AS (SELECT seqid, pos, d, a, n, sum(n) OVER w AS upon, sum(d) OVER w AS value FROM fs WINDOW w AS (PARTITION BY seqid ORDER BY pos)),
+fk AS (SELECT seqid, pos AS start, lead(pos) OVER (PARTITION BY seqid ORDER BY pos) AS "end", upon, value FROM fl WHERE abs(d) > 1e-9 * a OR (upon = 0) <> (upon = n))"""
+
+
+@query(f"WITH {_FRACTION} SELECT seqid, start, \"end\", round(value, 4) AS value FROM fk WHERE upon > 0 AND \"end\" IS NOT NULL")
+def coverage_fractions(spark, d):
+    rows = _table(spark, d, "lineitem").select(F.col("l_partkey").alias("seqid"), F.datediff("l_shipdate", F.lit("1995-01-01")).cast("long").alias("start"), "l_quantity", (F.col("l_extendedprice") * F.col("l_discount")).alias("expr"))
+    rows = rows.withColumn("end", F.col("start") + F.col("l_quantity").cast("long"))
+    return coverage.runs(rows, ["seqid"]).select("seqid", "start", "end", F.round("value", 4).alias("value"))
+
+
 @query(f"""WITH {EXONS}, {_RUNS}, z AS (SELECT seqid, strand, start, value FROM runs UNION ALL
 SELECT seqid, strand, "end", 0 FROM (SELECT *, lead(start) OVER (PARTITION BY seqid, strand ORDER BY start) AS nxt FROM runs) WHERE nxt > "end"),
 c AS (SELECT seqid, strand, start AS pos, value > 40 AS high, lag(value) OVER (PARTITION BY seqid, strand ORDER BY start) > 40 AS was FROM z)
@@ -236,45 +257,53 @@ def start_stop_nodes(spark, d):
 
 
 @query(f"""WITH {TX}, {_NODES}, c AS (SELECT n.seqid, n.start, n."end", x.expr, greatest(n.start, x.start) AS a, least(n."end", x."end") AS b FROM nodes n JOIN tx_exons x ON n.seqid = x.seqid AND n.start < x."end" AND x.start < n."end" WHERE n."end" IS NOT NULL)
-SELECT seqid, start, "end", round(sum((b - a) * expr) / ("end" - start), 4) AS mean FROM c GROUP BY seqid, start, "end" """)
+SELECT c.seqid, c.start, c."end", round(sum((b - a) * expr) / (c."end" - c.start), 4) AS mean, any_value(m.low) AS low, any_value(m.high) AS high
+FROM c JOIN (SELECT n.seqid, n.start, min(r.value) AS low, max(r.value) AS high FROM nodes n JOIN rz r ON r.seqid = n.seqid AND r.start < n."end" AND n.start < r."end" WHERE n."end" IS NOT NULL GROUP BY ALL) m ON m.seqid = c.seqid AND m.start = c.start GROUP BY c.seqid, c.start, c."end" """.replace("c AS (", """re AS (SELECT seqid, start AS pos, expr AS d FROM tx_exons UNION ALL SELECT seqid, "end", -expr FROM tx_exons), rs AS (SELECT seqid, pos, sum(d) AS d FROM re GROUP BY ALL),
+rz AS (SELECT seqid, pos AS start, lead(pos) OVER w AS "end", sum(d) OVER w AS value FROM rs WINDOW w AS (PARTITION BY seqid ORDER BY pos)), c AS (""", 1))
 def node_stats(spark, d):
     x = tx_exons(spark, d)
     n = splice.nodes(splice.boundaries(x, ["seqid", "tx"]))
-    return coverage.node_statistics(n, coverage.runs(x, ["seqid"])).select("seqid", "start", "end", F.round("mean", 4).alias("mean"))
-
+    return coverage.node_statistics(n, coverage.runs(x, ["seqid"])).select("seqid", "start", "end", F.round("mean", 4).alias("mean"), "low", "high")
 
-_NATION = "edges AS (SELECT DISTINCT 2 * s_suppkey AS src, 2 * (s_suppkey + s_nationkey) + 1 AS dst FROM supplier)"
 
+def _splice_edges(spark, d):
+    """Edges of all splice graphs, with the sequence they are of."""
+    return cut(_edges(spark, d).withColumn("seqid", F.floor(F.col("src") / 100000)), "edges")
 
-def _bipartite(spark, d):
-    return _table(spark, d, "supplier").select((2 * F.col("s_suppkey")).alias("src"), (2 * (F.col("s_suppkey") + F.col("s_nationkey")) + 1).alias("dst")).distinct()
 
-
-@query(f"""WITH RECURSIVE {_NATION}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r(node, reach) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.reach)
+@query(f"""WITH RECURSIVE {TX}, {_NODES}, {_HITS}, {_EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r(node, reach) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.reach)
 SELECT node, min(reach) AS component FROM r GROUP BY node""")
 def weak_components(spark, d):
-    return graphs.components(_bipartite(spark, d))
+    return graphs.components(_splice_edges(spark, d))
 
 
-@query("""WITH RECURSIVE edges AS (SELECT DISTINCT n_regionkey AS src, 100 + n_nationkey AS dst FROM nation UNION SELECT DISTINCT 100 + s_nationkey, 1000 + s_suppkey FROM supplier), r(node, hops) AS (
-SELECT 0::BIGINT, 0 UNION SELECT CAST(e.dst AS BIGINT), r.hops + 1 FROM r JOIN edges e ON e.src = r.node) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node""")
+@query(f"""WITH RECURSIVE {TX}, {_NODES}, {_HITS}, {_EDGES}, r(node, hops) AS (SELECT DISTINCT src, 0 FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, r.hops + 1 FROM r JOIN edges e ON e.src = r.node)
+SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node""")
 def reachable_nodes(spark, d):
-    n = _table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
-    s = _table(spark, d, "supplier").select((F.col("s_nationkey") + 100).cast("long").alias("src"), (F.col("s_suppkey") + 1000).alias("dst"))
-    return graphs.reachable(n.unionByName(s), spark.createDataFrame([(0,)], "node long"))
+    e = _splice_edges(spark, d)
+    starts = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
+    return graphs.reachable(e, starts)
 
 
-@query("""WITH edges AS (SELECT DISTINCT CAST(n_regionkey AS BIGINT) AS src, CAST(100 + n_nationkey AS BIGINT) AS dst FROM nation UNION SELECT DISTINCT 100 + s_nationkey, 1000 + s_suppkey FROM supplier)
-SELECT src AS node, CAST(CASE WHEN src < 100 THEN 0 ELSE 1 END AS INTEGER) AS level FROM edges UNION SELECT dst, CAST(CASE WHEN dst >= 1000 THEN 2 ELSE 1 END AS INTEGER) FROM edges""")
+@query(f"""WITH RECURSIVE {TX}, {_NODES}, {_HITS}, {_EDGES}, r(node, level) AS (SELECT DISTINCT src, 0 FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, r.level + 1 FROM r JOIN edges e ON e.src = r.node)
+SELECT node // 100000 AS seqid, node, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY node""")
 def toposort_levels(spark, d):
-    n = _table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
-    s = _table(spark, d, "supplier").select((F.col("s_nationkey") + 100).cast("long").alias("src"), (F.col("s_suppkey") + 1000).alias("dst"))
-    return graphs.levels(n.unionByName(s))
+    return graphs.levels_within(_splice_edges(spark, d), "seqid")
+
+
+@query(f"""WITH {TX}, {_NODES}, {_HITS}, {_EDGES} SELECT src, dst FROM edges WHERE src % 100000 % 7 <> 0 AND dst % 100000 % 7 <> 0""")
+def removed_nodes(spark, d):
+    e = _edges(spark, d)
+    n = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+    return graphs.without(n, e, n.where("node % 100000 % 7 = 0"))[1]
 
 
-@query("""SELECT event_type AS key, round(quantile_cont(value, 0.9), 6) AS fraction FROM events GROUP BY event_type""")
+@query("""WITH v AS (SELECT event_type AS key, list_sort(list(value)) AS v FROM events WHERE value BETWEEN 1 AND 1000000 GROUP BY event_type)
+SELECT key, round(v[floor(0.9 * (len(v) - 1))::INT + 1] + (0.9 * (len(v) - 1) - floor(0.9 * (len(v) - 1))) * (v[ceil(0.9 * (len(v) - 1))::INT + 1] - v[floor(0.9 * (len(v) - 1))::INT + 1]), 6) AS fraction,
+v[floor(0.9 * (len(v) - 1))::INT + 1] AS lower, v[ceil(0.9 * (len(v) - 1))::INT + 1] AS higher FROM v""")
 def percentile_scores(spark, d):
-    return statistics.percentile(signal(spark, d), ["key"], "value", 90).select("key", F.round("fraction", 6).alias("fraction"))
+    rows = _table(spark, d, "events").select(F.col("event_type").alias("key"), "value")
+    return statistics.percentile(rows, ["key"], "value", 90, (1.0, 1e6)).withColumn("fraction", F.round("fraction", 6))
 
 
 @query("""SELECT l_suppkey AS key, l_quantity AS value, CAST(rank() OVER w AS INTEGER) AS rank_min, CAST(dense_rank() OVER w AS INTEGER) AS rank_dense,
@@ -299,10 +328,19 @@ def mannwhitney_u(spark, d):
     return statistics.mann_whitney(rows, ["key"], "side", "value").select("key", "u2")
 
 
-@query()
+# The tail of the normal distribution by Simpson's rule.
+_SIMPSON = "0.5 - z / 600 / sqrt(2 * pi()) / 3 * list_sum(list_transform(range(0, 601), lambda i: (CASE WHEN i IN (0, 600) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * i / 600) * (z * i / 600) / 2)))"
+
+
+@query(f"""WITH r AS (SELECT l_suppkey AS key, l_returnflag = 'N' AS x, l_quantity AS q, rank() OVER w + (count(*) OVER s - 1) / 2.0 AS r FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity), s AS (PARTITION BY l_suppkey, l_quantity)),
+t AS (SELECT key, sum(c * c * c - c) AS ties FROM (SELECT key, q, CAST(count(*) AS DOUBLE) AS c FROM r GROUP BY ALL) GROUP BY key),
+u AS (SELECT key, CAST(count(*) FILTER (x) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT x) AS DOUBLE) AS n2, sum(r) FILTER (x) AS r1 FROM r GROUP BY key),
+v AS (SELECT key, n1, n2, n1 * n2 + n1 * (n1 + 1) / 2 - r1 AS u1, sqrt((1 - ties / ((n1 + n2) ** 3 - (n1 + n2))) * n1 * n2 * (n1 + n2 + 1) / 12) AS sd FROM u JOIN t USING (key)),
+w AS (SELECT key, n1 * n2 - u1 AS u2, abs(greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / sd AS z FROM v)
+SELECT key, u2, round(z, 9) AS z, round(2 * ({_SIMPSON}), 8) AS p FROM w""")
 def mannwhitney_p(spark, d):
     rows = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.when(F.col("l_returnflag") == "N", "x").otherwise("y").alias("side"), F.col("l_quantity").alias("value"))
-    return statistics.mann_whitney(rows, ["key"], "side", "value").withColumn("p", statistics.normal_sf(F.col("z")))
+    return statistics.mann_whitney(rows, ["key"], "side", "value").select("key", "u2", F.round("z", 9).alias("z"), F.round("p", 8).alias("p"))
 
 
 _WEIGHTS = signals.window_weights("hanning", 11)
@@ -346,9 +384,9 @@ def slope_extract(spark, d):
 
 
 @query(f"""WITH {_SQ}, m AS (SELECT key, pos, value - avg(value) OVER (PARTITION BY key) AS v FROM signal), c AS (SELECT key, pos, round(sum(v) OVER (PARTITION BY key ORDER BY pos), 4) AS s FROM m)
-SELECT key, round(max(s) - min(s), 2) AS range, min(pos) AS first_pos FROM c GROUP BY key""")
+SELECT key, round(max(s) - min(s), 2) AS range, min(pos) AS first_pos, arg_max(pos, (abs(s), -pos)) AS peak_pos FROM c GROUP BY key""")
 def cusum(spark, d):
-    return signals.cusum(_daily(spark, d), ["key"]).select("key", "range", "first_pos")
+    return signals.cusum(_daily(spark, d), ["key"]).select("key", "range", "first_pos", "peak_pos")
 
 
 _PATHS = "paths AS (SELECT seqid, tx, list(seqid * 100000 + node_start ORDER BY node_start) AS path, sum(DISTINCT tx) * 0 + 1 AS expr FROM hits GROUP BY seqid, tx)"
@@ -366,6 +404,39 @@ def kmer_expr(spark, d):
     return splice.kmer_expression(rows, [])
 
 
+@query(f"""WITH {TX}, {_NODES}, {_HITS}, {_PATHS}, k AS (SELECT seqid, tx, path, unnest(range(greatest(len(path) - 2, 0))) AS i FROM paths)
+SELECT seqid, tx, CAST(i AS INTEGER) AS at, concat_ws('-', path[i + 1], path[i + 2], path[i + 3]) AS kmer FROM k""")
+def kmer_table(spark, d):
+    return splice.kmers(_paths(spark, d), 3).select("seqid", "tx", "at", F.array_join(F.col("kmer").cast("array<string>"), "-").alias("kmer"))
+
+
+@query(f"""WITH {TX}, {_NODES}, {_HITS}, {_PATHS}, ke AS (SELECT seqid, [path[i + 1], path[i + 2], path[i + 3]] AS kmer, count(*) AS expr FROM (SELECT seqid, path, unnest(range(greatest(len(path) - 2, 0))) AS i FROM paths) GROUP BY ALL),
+parts AS (SELECT DISTINCT seqid, kmer, expr, part FROM (SELECT seqid, kmer, expr, unnest([[kmer[1]], [kmer[2]], [kmer[3]], [kmer[1], kmer[2]], [kmer[2], kmer[3]]]) AS part FROM ke)),
+short AS (SELECT seqid, tx, path FROM paths WHERE len(path) < 3), hit AS (SELECT s.seqid, s.tx, p.kmer, p.expr / sum(p.expr) OVER (PARTITION BY s.seqid, s.tx) AS gain FROM short s JOIN parts p ON p.seqid = s.seqid AND p.part = s.path)
+SELECT seqid, array_to_string(kmer, '-') AS kmer, round(sum(gain), 8) AS gain FROM hit GROUP BY ALL""")
+def short_path_rescue(spark, d):
+    p = cut(_paths(spark, d), "paths")
+    known = splice.kmer_expression(splice.kmers(p, 3), ["seqid"])
+    short = p.where(F.size("path") < 3).withColumnRenamed("tx", "id")
+    gains, _ = splice.rescued(known, short, ["seqid"], 3)
+    return gains.select("seqid", F.array_join(F.col("kmer").cast("array<string>"), "-").alias("kmer"), F.round("gain", 8).alias("gain"))
+
+
+@query(f"""WITH {TX}, {_NODES}, {_HITS}, rn AS (SELECT seqid, tx, node_start, node_end, CASE WHEN lag(node_end) OVER w = node_start THEN 0 ELSE 1 END AS fresh FROM hits WINDOW w AS (PARTITION BY tx ORDER BY node_start)),
+ri AS (SELECT *, sum(fresh) OVER (PARTITION BY tx ORDER BY node_start) AS island FROM rn) SELECT seqid, tx, min(node_start) AS start, max(node_end) AS "end" FROM ri GROUP BY seqid, tx, island""")
+def reconstruct_exons(spark, d):
+    h = _hits(spark, d).select("seqid", "tx", F.col("node_start").alias("start"), F.col("node_end").alias("end"))
+    return splice.reconstructed(h, ["seqid", "tx"])
+
+
+@query(f"""WITH RECURSIVE {TX}, x AS (SELECT DISTINCT tx, seqid * 1000000 + start * 64 + least("end" - start, 63) AS e FROM tx_exons), p AS (SELECT a.tx AS src, b.tx AS dst FROM x a JOIN x b ON a.e = b.e),
+r(tx, reach) AS (SELECT src, dst FROM p UNION SELECT r.tx, p.dst FROM r JOIN p ON p.src = r.reach) SELECT tx, min(reach) AS gene FROM r GROUP BY tx""")
+def gene_clusters(spark, d):
+    x = tx_exons(spark, d).select((2 * F.col("tx")).alias("src"), (2 * (F.col("seqid") * 1000000 + F.col("start") * 64 + F.least(F.col("end") - F.col("start"), F.lit(63))) + 1).alias("dst"))
+    found = graphs.components(x).where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("tx"), "component")
+    return found.withColumn("gene", F.min("tx").over(Window.partitionBy("component"))).drop("component")
+
+
 @query(f"WITH {TX}, {_NODES}, {_HITS}, {_PATHS} SELECT seqid, max(len(path)) AS longest FROM paths GROUP BY seqid")
 def longest_path(spark, d):
     return _paths(spark, d).groupBy("seqid").agg(F.max(F.size("path")).cast("long").alias("longest"))
@@ -378,10 +449,116 @@ def gtf_roundtrip(spark, d):
     return text.parse_gtf(lines).select("seqid", "feature", "start", "end", "strand", F.col("attrs")["transcript_id"].alias("transcript_id"))
 
 
-@query("""SELECT o_custkey AS sample, o_orderkey AS orig, CAST(o_custkey AS VARCHAR) || '.T' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS transcript_id FROM orders""")
+def _sample_features(spark, d):
+    """Orders as transcripts of 20 samples and a reference, their lines as exons; a line's order may be missing."""
+    o, x = _table(spark, d, "orders"), _table(spark, d, "lineitem")
+    sample = lambda c: F.when(F.pmod(c, F.lit(21)) == 20, ingest.REFERENCE).otherwise(F.pmod(c, F.lit(21)).cast("string"))
+    columns = ["seqid", "feature", "start", "end", "strand", "attrs", "sample_id", "block", "place"]
+    key = lambda c: F.col(c)
+    heads = o.where("o_orderkey % 11 <> 0").select(
+        F.lit("c").alias("seqid"), F.lit("transcript").alias("feature"), F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("end"), F.lit("+").alias("strand"),
+        F.create_map(F.lit("transcript_id"), key("o_orderkey").cast("string"), F.lit("FPKM"), key("o_custkey").cast("string")).alias("attrs"), sample(key("o_orderkey")).alias("sample_id"), F.floor(key("o_orderkey") / 1000).alias("block"), key("o_orderkey").alias("place"),
+    )
+    parts = x.select(
+        F.lit("c").alias("seqid"), F.when(F.col("l_linenumber") == 7, "CDS").otherwise("exon").alias("feature"), key("l_linenumber").cast("long").alias("start"), (key("l_linenumber") + 1).cast("long").alias("end"), F.lit("+").alias("strand"),
+        F.create_map(F.lit("transcript_id"), key("l_orderkey").cast("string")).alias("attrs"), sample(key("l_orderkey")).alias("sample_id"), F.lit(0).cast("long").alias("block"), key("l_orderkey").alias("place"),
+    )
+    return heads.select(columns).unionByName(parts.select(columns)).withColumn("is_ref", F.col("sample_id") == ingest.REFERENCE)
+
+
+_SAMPLE = "CASE WHEN {0} % 21 = 20 THEN 'R' ELSE CAST({0} % 21 AS VARCHAR) END"
+
+
+@query(f"""WITH h AS (SELECT {_SAMPLE.format("o_orderkey")} AS sample_id, o_orderkey, CAST(o_custkey AS DOUBLE) AS e FROM orders WHERE o_orderkey % 11 <> 0),
+n AS (SELECT *, sample_id || '.T' || row_number() OVER (PARTITION BY sample_id ORDER BY o_orderkey) AS tx FROM h),
+x AS (SELECT {_SAMPLE.format("l_orderkey")} AS sample_id, l_orderkey, CAST(l_linenumber AS BIGINT) AS start FROM lineitem WHERE l_linenumber <> 7)
+SELECT 'transcript' AS feature, sample_id, tx, 0::BIGINT AS start, CASE WHEN sample_id = 'R' THEN 0.0::DOUBLE ELSE e END AS expr, sample_id = 'R' AS is_ref, NULL::VARCHAR AS problem FROM n
+UNION ALL SELECT 'exon', x.sample_id, n.tx, x.start, NULL, x.sample_id = 'R', CASE WHEN n.tx IS NULL THEN 'exon without a transcript' END FROM x LEFT JOIN n ON n.o_orderkey = x.l_orderkey""")
 def aggregate_rekey_union(spark, d):
-    rows = _table(spark, d, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderkey").alias("orig"))
-    return transcripts.rekeyed(rows, "sample", ["orig"])
+    return ingest.aggregated(_sample_features(spark, d), order=["block", "place"]).select("feature", "sample_id", "tx", "start", "expr", "is_ref", "problem")
+
+
+@query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'own' || s_suppkey END AS own FROM supplier)
+SELECT 'sample' || s_suppkey || '.gtf' AS gtf, coalesce(own, CAST(sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY s_suppkey) AS VARCHAR)) AS sample_id FROM s""")
+def sample_manifest_ids(spark, d):
+    own = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("\town"), F.col("s_suppkey").cast("string"))).otherwise("")
+    lines = _table(spark, d, "supplier").select(F.concat(F.lit("sample"), F.col("s_suppkey").cast("string"), F.lit(".gtf"), own).alias("value"), "s_suppkey")
+    return text.parse_manifest(lines, ["s_suppkey"])
+
+
+@query(f"""WITH {EXONS} SELECT seqid, start, "end", transcript_id, note, count(*) AS n FROM (SELECT seqid, start, "end", CAST(tx AS VARCHAR) AS transcript_id, CASE WHEN tx % 2 = 0 THEN 'b c' END AS note FROM exons WHERE tx % 5 <> 0 AND tx % 7 <> 0) GROUP BY ALL""")
+def gtf_parse_attrs(spark, d):
+    e = exons(spark, d)
+    number = F.when(F.col("tx") % 5 == 0, "x1").otherwise((F.col("start") + 1).cast("string"))
+    note = F.when(F.col("tx") % 2 == 0, F.lit(' note "a"; note "b c" ;')).otherwise("")
+    fields = [F.col("seqid").cast("string"), F.lit("s"), F.lit("exon"), number, F.col("end").cast("string"), F.lit("."), F.col("strand"), F.lit("."), F.concat(F.lit("transcript_id "), F.col("tx").cast("string"), F.lit(";"), note)]
+    lines = e.select(F.when(F.col("tx") % 7 == 0, F.concat(F.lit("#"), F.concat_ws("\t", *fields))).otherwise(F.concat_ws("\t", *fields)).alias("value"))
+    f = text.parse_gtf(lines).select(F.col("seqid").cast("long").alias("seqid"), "start", "end", F.col("attrs")["transcript_id"].alias("transcript_id"), F.try_element_at("attrs", F.lit("note")).alias("note"))
+    return f.groupBy("seqid", "start", "end", "transcript_id", "note").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FEATURES = """f AS (SELECT DISTINCT seqid, CASE WHEN tx % 3 = 0 THEN 'transcript' ELSE 'exon' END AS feature, start, "end", strand FROM exons)"""
+
+
+@query(f"""WITH {EXONS}, {_FEATURES} SELECT *, row_number() OVER (ORDER BY seqid, start, feature DESC, "end", strand) AS position FROM f""")
+def sorted_features(spark, d):
+    f = exons(spark, d).select("seqid", F.when(F.col("tx") % 3 == 0, "transcript").otherwise("exon").alias("feature"), "start", "end", "strand").distinct()
+    return intervals.numbered(text.sorted_features(f), ["start", F.desc("feature"), "end", "strand"], "position")
+
+
+@query(f"""WITH {TX}, i AS (SELECT seqid, "end" AS s, lead(start) OVER (PARTITION BY tx ORDER BY start) AS e FROM tx_exons) SELECT seqid, s AS pos FROM i WHERE e IS NOT NULL UNION SELECT seqid, e FROM i WHERE e IS NOT NULL""")
+def splice_sites(spark, d):
+    return splice.splice_sites(tx_exons(spark, d), ["seqid", "tx"])
+
+
+@query(f"""WITH {TX}, t AS (SELECT seqid, tx, strand, min(start) AS start, max("end") AS "end" FROM tx_exons GROUP BY seqid, tx, strand)
+SELECT seqid, tx, CASE strand WHEN '+' THEN 0 WHEN '-' THEN 1 ELSE 2 END AS code, CASE strand WHEN '+' THEN 'pos' WHEN '-' THEN 'neg' ELSE 'none' END AS name, CASE WHEN strand = '-' THEN "end" ELSE start END AS tss FROM t""")
+def tss_positions(spark, d):
+    t = transcripts.transfrags(tx_exons(spark, d), ["seqid", "tx", "strand"])
+    code = arrays.strand_code(arrays.strand_text(arrays.strand_code(F.col("strand"))))
+    return t.select("seqid", "tx", code.alias("code"), arrays.strand_name(code).alias("name"), transcripts.tss().alias("tss"))
+
+
+_STREAM = """WITH {E}, q AS (SELECT DISTINCT seqid, start, "end", strand FROM exons WHERE strand <> '.' AND start % 4 = 0), r AS (
+SELECT q.seqid, q.start AS q_start, q."end" AS q_end, q.strand, CASE WHEN {M} THEN b.start - (q."end" + 1) ELSE q.start - 1 - b."end" END AS distance FROM q JOIN exons b ON q.seqid = b.seqid
+AND CASE WHEN {M} THEN b.start - (q."end" + 1) ELSE q.start - 1 - b."end" END BETWEEN 0 AND 299)
+SELECT seqid, q_start, q_end, strand, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seqid, q_start, q_end, strand ORDER BY distance) AS rank FROM r) WHERE rank <= 2"""
+
+
+def _stream(spark, d, side):
+    e = exons(spark, d)
+    q = e.where("strand <> '.' AND start % 4 = 0").select("seqid", "start", "end", "strand").distinct().withColumn("q", F.struct("seqid", "start", "end", "strand"))
+    return intervals.nearest_interval(q, e.select("seqid", "start", "end"), side, 2, 300).select("seqid", "q_start", "q_end", "strand", "distance", "rank")
+
+
+@query(_STREAM.format(E=EXONS, M="q.strand = '-'"))
+def upstream_intervals(spark, d):
+    return _stream(spark, d, "upstream")
+
+
+@query(_STREAM.format(E=EXONS, M="q.strand <> '-'"))
+def downstream_intervals(spark, d):
+    return _stream(spark, d, "downstream")
+
+
+@query(f"""WITH {EXONS}, a AS (SELECT *, max("end") OVER (PARTITION BY seqid ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM exons),
+b AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY seqid ORDER BY start, "end", reach NULLS FIRST ROWS UNBOUNDED PRECEDING) AS island FROM a),
+c AS (SELECT 'L' || row_number() OVER (ORDER BY seqid, island) AS locus_id, seqid, island FROM (SELECT DISTINCT seqid, island FROM b))
+SELECT locus_id, seqid, tx, start, "end", count(*) AS n FROM b JOIN c USING (seqid, island) GROUP BY ALL""")
+def features_by_locus(spark, d):
+    e = exons(spark, d).select("seqid", "tx", "start", "end")
+    return intervals.located(e, cut(intervals.loci(e), "loci"), ["locus_id"]).groupBy("locus_id", "seqid", "tx", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {EXONS}, p AS (SELECT seqid, list_sort(list(DISTINCT start)) AS a FROM exons GROUP BY seqid)
+SELECT seqid, len(list_filter(a, lambda v: v < 1000)) AS below, len(list_filter(a, lambda v: v <= 1000)) AS upto, list_filter(a, lambda v: v > 1000 AND v <= 1100) AS inside,
+CAST(coalesce(list_sum(list_filter(a[3:6], lambda v: v IS NOT NULL)), 0) AS DOUBLE) AS padded FROM p""")
+def array_lookups(spark, d):
+    a = F.col("a")
+    p = exons(spark, d).groupBy("seqid").agg(F.array_sort(F.collect_set("start")).alias("a"))
+    part = arrays.padded_slice(a.cast("array<double>"), F.lit(10).cast("long"), F.lit(12).cast("long"), F.lit(16).cast("long"))
+    at = F.lit(1000).cast("long")
+    return p.select("seqid", arrays.bisect_left(a, at).alias("below"), arrays.bisect_right(a, at).alias("upto"), arrays.between(a, at, F.lit(1100).cast("long")).alias("inside"), F.aggregate(part, F.lit(0.0), lambda x, y: x + y).alias("padded"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
@@ -395,9 +572,18 @@ def strand_evidence(spark, d):
     return splice.strand_evidence(tx_exons(spark, d), ["seqid", "tx"])
 
 
-@query()
+def _imputed(rounds: int) -> str:
+    """Rounds of imputation; those after the last decision change nothing."""
+    parts = ["x0 AS MATERIALIZED (SELECT seqid, tx, strand, start, \"end\" FROM tx_exons)"]
+    for k in range(rounds):
+        parts.append(f"""d{k} AS MATERIALIZED (SELECT p.seqid, p.tx, bool_or(k.strand = '+') AS plus, bool_or(k.strand = '-') AS minus FROM x{k} p JOIN x{k} k ON k.seqid = p.seqid AND k.strand <> '.' AND p.start < k."end" AND k.start < p."end" WHERE p.strand = '.' GROUP BY ALL)""")
+        parts.append(f"""x{k + 1} AS MATERIALIZED (SELECT x.seqid, x.tx, CASE WHEN d.plus <> d.minus THEN CASE WHEN d.plus THEN '+' ELSE '-' END ELSE x.strand END AS strand, x.start, x."end" FROM x{k} x LEFT JOIN d{k} d ON d.seqid = x.seqid AND d.tx = x.tx)""")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {TX}, {_imputed(6)} SELECT x.seqid, x.tx, x.strand, x.start, x."end", t.expr FROM x6 x JOIN tx_exons t ON t.tx = x.tx AND t.start = x.start""")
 def impute_strand(spark, d):
-    return splice.impute_strands(tx_exons(spark, d), ["seqid", "tx"])
+    return splice.impute_strands(tx_exons(spark, d), ["seqid", "tx"]).select("seqid", "tx", "strand", "start", "end", "expr")
 
 
 @query(f"""WITH {TX}, g AS (SELECT seqid, tx, sum(expr) AS expr FROM tx_exons GROUP BY ALL)
@@ -417,14 +603,90 @@ def assembly_bed12(spark, d):
 
 @query()
 def widest_paths(spark, d):
-    return assembly.isoforms(tx_exons(spark, d))
+    return assembly.isoforms(tx_exons(spark, d), assembly.Options(change_point=False))
 
 
 @query()
 def path_graph_stats(spark, d):
-    return assembly.path_statistics(tx_exons(spark, d))
+    return assembly.plain_statistics(tx_exons(spark, d), assembly.Options(change_point=False))
 
 
 @query()
 def change_points(spark, d):
     return assembly.change_points(_daily(spark, d).withColumn("key", F.col("key").cast("string")), assembly.Options(change_point_pvalue=0.05))
+
+
+BLOCKS = [(0, 100), (200, 300), (400, 500), (600, 700), (800, 900)]
+CHAINS = [([0, 1, 2, 3, 4], 10.0), ([0, 2, 4], 5.0), ([0, 1, 2, 4], 2.0), ([0, 2, 3, 4], 1.0)]
+
+
+def gene_lines(spark, d):
+    """GTF lines of one gene for every part: four transcripts over five blocks, scaled by the part's size.
+
+    Samples are parts' sizes; every gene stands on a sequence of its own, the minus strand for odd parts.
+    """
+    p = _table(spark, d, "part").select(F.col("p_partkey").alias("seqid"), F.col("p_size").alias("size"), F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("-").alias("strand"))
+    rows = []
+    for n, (chain, expr) in enumerate(CHAINS):
+        spans = [(BLOCKS[0][0], BLOCKS[-1][1])] + [BLOCKS[b] for b in chain]
+        for k, (start, end) in enumerate(spans):
+            rows.append(F.struct(F.lit("exon" if k else "transcript").alias("feature"), F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(expr).alias("e")))
+    r = p.select("*", F.explode(F.array(*rows)).alias("r")).select("*", "r.*").withColumn("score", F.lit("."))
+    head = F.when(F.col("feature") == "transcript", F.col("e") * F.col("size"))
+    line = text.gtf_line([("transcript_id", F.concat_ws(".", F.col("seqid").cast("string"), F.col("n").cast("string"))), ("FPKM", head)])
+    return r.select(line.alias("value"), F.col("size").cast("string").alias("sample_id"), F.col("seqid").alias("block"), (F.col("n") * 16 + F.col("k")).alias("place"))
+
+
+def _assembled(spark, d):
+    features = text.parse_gtf(gene_lines(spark, d)).withColumn("is_ref", F.lit(False))
+    rows = ingest.aggregated(features, order=["block", "place"])
+    return assembly.assembled(ingest.transfrags_of(rows), assembly.Options(min_expr=0.0))
+
+
+_GENES = """g AS (SELECT p_partkey AS seqid, p_size AS size, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part),
+i AS (SELECT seqid, strand, w * size AS expr, rank, e, w / 11 AS rel, w / 18 AS abs FROM g, (VALUES (0, 11.0::DOUBLE, [0, 200, 400, 600, 800]), (1, 6.0, [0, 400, 800]), (2, 1.0, [0, 200, 400, 800])) v(rank, w, e)),
+ids AS (SELECT *, dense_rank() OVER (ORDER BY CAST(seqid AS VARCHAR)) AS g, row_number() OVER (ORDER BY CAST(seqid AS VARCHAR), rank) AS t FROM i)"""
+
+
+@query(f"""WITH {_GENES} SELECT CAST(seqid AS VARCHAR) AS seqid, strand, 'L' || g AS locus_id, 'G' || g AS gene_id, 'TSS' || g AS tss_id, 'TU' || t AS transcript_id, round(expr, 6) AS expr, round(rel, 6) AS rel_frac, round(abs, 6) AS abs_frac, CAST(len(e) AS INTEGER) AS n_exons FROM ids""")
+def assign_ids(spark, d):
+    found = _assembled(spark, d).isoforms()
+    return found.select("seqid", "strand", "locus_id", "gene_id", "tss_id", "transcript_id", F.round("expr", 6).alias("expr"), F.round("rel_frac", 6).alias("rel_frac"), F.round("abs_frac", 6).alias("abs_frac"), F.size("exons").alias("n_exons"))
+
+
+_ATTRS = """'locus_id "L' || g || '"; gene_id "G' || g || '"; tss_id "TSS' || g || '"; transcript_id "TU' || t || '";'"""
+
+
+@query(f"""WITH {_GENES}, l AS (SELECT *, CAST(floor(1000 * rel + 0.5) AS INTEGER) AS score FROM ids)
+SELECT concat_ws(chr(9), seqid, 'strandloom', 'transcript', '1', '900', score, strand, '.', 'expr "' || printf('%.3f', round(expr, 3)) || '"; rel_frac "' || printf('%.5f', rel) || '"; abs_frac "' || printf('%.5f', abs) || '"; ' || {_ATTRS}) AS value FROM l
+UNION ALL SELECT concat_ws(chr(9), seqid, 'strandloom', 'exon', s + 1, s + 100, score, strand, '.', {_ATTRS}) FROM (SELECT *, unnest(e) AS s FROM l)""")
+def assembly_gtf(spark, d):
+    return assembly.assembly_gtf(_assembled(spark, d).isoforms())
+
+
+@query(f"""WITH {_GENES} SELECT concat_ws(chr(9), seqid, '0', '900', 'G' || g || '|TU' || t || '(' || printf('%.1f', round(expr, 1)) || ')', CAST(floor(1000 * rel + 0.5) AS INTEGER), strand, '0', '0', '0', len(e), repeat('100,', len(e)), array_to_string(e, ',') || ',') AS value FROM ids""")
+def assembly_bed(spark, d):
+    return assembly.assembly_bed(_assembled(spark, d).isoforms())
+
+
+@query(f"""WITH {_GENES}, c AS (SELECT * FROM g, (VALUES (0, 18.0::DOUBLE), (200, 12), (400, 18), (600, 11), (800, 18)) v(s, w))
+SELECT concat_ws(chr(9), seqid, 'strandloom', 'node', s + 1, s + 100, '0', strand, '.', 'graph_id "G_' || seqid || '_0_900_' || strand || '"; expr_min "' || CAST(w * size AS VARCHAR) || '"; expr_max "' || CAST(w * size AS VARCHAR) || '"; expr_mean "' || CAST(w * size AS VARCHAR) || '"; ref_starts ""; ref_stops "";') AS value FROM c""")
+def splice_graph_gtf(spark, d):
+    return assembly.graph_gtf(_assembled(spark, d).found)
+
+
+@query(f"""WITH {_GENES}, k AS (SELECT * FROM g, (VALUES (1, 5, 77.0::DOUBLE), (2, 6, 59.0), (3, 6, 43.0), (4, 5, 26.0), (5, 4, 18.0)) v(k, n, w))
+SELECT CAST(seqid AS VARCHAR) AS seqid, 0::BIGINT AS start, 900::BIGINT AS "end", strand, k::BIGINT AS k, 5::BIGINT AS kmax, 4::BIGINT AS transfrags, n::BIGINT AS kmers, 0::BIGINT AS short_transfrags, 0::BIGINT AS lost_kmers, w * size AS tot_expr, 0.0::DOUBLE AS lost_expr, 0.0::DOUBLE AS lost_expr_frac, 1::BIGINT AS valid FROM k""")
+def optimal_k(spark, d):
+    return assembly.path_statistics(_assembled(spark, d).found)
+
+
+@query("""SELECT s_suppkey AS seqid, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 1110::BIGINT AS pos, -1 AS sign FROM supplier""")
+def change_points_of_ramps(spark, d):
+    """A ramp of coverage for every supplier: 50 weak transfrags over all of it, 20 strong ones that end one by one."""
+    s = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("seqid"), F.when(F.col("s_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.explode(F.sequence(F.lit(0), F.lit(69))).alias("tx"))
+    strong = F.col("tx") >= 50
+    t = s.select("seqid", "strand", "tx", F.when(strong, 10.0).otherwise(1.0).alias("expr"), F.lit(False).alias("is_ref"), F.lit(1000).cast("long").alias("start"), F.when(strong, F.col("tx") + 1050).otherwise(1220).cast("long").alias("end"))
+    t = t.withColumn("length", F.col("end") - F.col("start")).withColumn("exons", F.array(F.struct("start", "end")))
+    found = assembly.assembled(t, assembly.Options(min_transfrag_length=0)).of("changept")
+    return found.select(F.col("seqid").cast("long").alias("seqid"), "strand", "pos", "sign")
