@@ -1,11 +1,13 @@
 """Pseudonyms for personal data: keyed, type-consistent surrogates, native expressions only.
 
-Entities are found by one pattern, made canonical (letter case aside), and given a surrogate once
-per corpus: a format-preserving keyed image that keeps the type, the length, the punctuation, the
-script of every letter (letters of rare scripts become Latin), the country code of a telephone number, the validity of a card number's
-check digit, and the gender of a titled name.  A surrogate that equals another entity's, or any
-entity that really occurs, is drawn again; so different entities stay different and all mentions
-of one entity stay one, in every document.
+Entities are found by one pattern and reduced to what names them: the digits of a number, letters and
+digits of an account, a person's name without title, all without letter case.  Each gets a surrogate
+once per corpus: a format-preserving keyed image that keeps the type, the script of every letter
+(letters of rare scripts become Latin), the country code of a telephone number, valid check digits of
+cards and accounts, and the gender of a name.  A surrogate that equals another entity's, or any entity
+that really occurs, is drawn again, and grows after GROWS draws; so different entities stay different
+and all mentions of one entity stay one, in every document.  A mention keeps its own punctuation,
+title and letter case.  Names are found after a title, or where a common given name begins them.
 
 Results for odd input: null text stays null with 0 entities; empty texts and texts without
 entities are unchanged; repeated rows get equal results, one row each; null ids are kept; long
@@ -39,22 +41,34 @@ FAMILY = {
     "cyrillic": "Беляев Волков Громов Егоров Жуков Зайцев Иванов Козлов Лебедев Морозов Новиков Орлов Павлов Соколов Титов".split(),
 }
 
+# Titles of either gender, further given names.
+TITLES_N = ["Dr", "Prof"]
+MORE_F = "Amelie Barbara Catherine Charlotte Christine Elisabeth Elizabeth Emily Isabel Jane Jennifer Katharina Linda Lisa Margaret Marie Mary Monika Nathalie Patricia Sabine Sarah Susan Ursula".split()
+MORE_M = "Alexander Andreas Antonio Bob Charles Christian Diego Francisco George Hans Henry Jack Jacques James Jean Johann John José Juan Klaus Louis Luis Manuel Mark Michael Miguel Pablo Pedro Philippe Pierre Richard Stefan Wolfgang William".split()
+KNOWN = {"f": GIVEN["f", "latin"] + GIVEN["f", "cyrillic"] + MORE_F, "m": GIVEN["m", "latin"] + GIVEN["m", "cyrillic"] + MORE_M}
+# The country codes of one and of two digits; others have three.
+CODES = {1: "[17]", 2: "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"}
+
+_TITLE = r"(?:(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\.? )+"
+_PART = r"\p{Lu}[\p{Ll}\p{M}]+(?:-\p{Lu}[\p{Ll}\p{M}]+)*"
+_GIVEN = r"(?=\p{Lu})(?:" + "|".join(sorted({n for names in KNOWN.values() for n in names})) + ")"
 #: Type -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": rf"(?<![{_WORD}])(?=[._%+\p{{M}}-]*+[\p{{L}}\p{{N}}])[{_WORD}]++@{_LABEL}(?:\.{_LABEL})+",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])\+(?=(?:[ .()-]{0,2}[0-9]){8})[2-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![0-9])"
+    r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": r"(?<!\p{L})(?:" + "|".join(TITLES_F + TITLES_M) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": rf"(?<!\p{{L}}){_TITLE}{_PART}(?: {_PART})?|(?<!\p{{L}}){_GIVEN} {_PART}",
 }
 TYPES = list(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap sign that a text may hold an entity at all: a digit, an at sign or a title.
-HINT = r"[0-9@]|(?:M(?:rs?|s|iss|me|adame|onsieur)|Herr|Frau|S(?:ra?|eñora?)|Госпо(?:жа|дин))\.? \p{Lu}"
-ROUNDS = 40
-#: Attempts from which an address grows, so that short ones do not run out of images.
+#: A cheap sign that a text may hold an entity at all: a digit, an at sign, a title or a given name.
+HINT = rf"[0-9@]|(?<!\p{{L}}){_TITLE}\p{{Lu}}|(?<!\p{{L}}){_GIVEN} \p{{Lu}}"
+#: Draws after which surrogates grow, so that small spaces do not run out; the loop then ends soon.
 GROWS = 8
 #: Java's script -> its letters, from ranges that hold the common ones; other scripts become Latin.
 SCRIPTS = {
@@ -109,64 +123,104 @@ def _luhn(digits: str) -> str:
         ELSE 2 * CAST(substring({digits}, -k, 1) AS int) - 9 END), 10)"""
 
 
+def _mod97(text: str) -> str:
+    """SQL of the remainder by 97 of a string of digits and small letters (a is 10)."""
+    return f"""aggregate(split({text}, ''), 0, (s, c) -> CASE WHEN c = '' THEN s
+        WHEN c <= '9' THEN pmod(s * 10 + try_cast(c AS int), 97) ELSE pmod(s * 100 + ascii(c) - 87, 97) END)"""
+
+
 def with_surrogates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
-    """Add ``surrogate`` to (type, canon)."""
+    """Add ``surrogate`` to (type, canon, gender)."""
     seed = "_seed"
     # The n-th draw depends on the key, the type, the entity and the number of the attempt.
     df = entities.withColumn(seed, F.sha2(F.concat_ws("\u0000", F.lit(key), "type", "canon", F.lit(str(attempt))).cast("binary"), 256))
     df = df.withColumn("_image", F.expr(_letters(seed)))
+    more = attempt - GROWS + 1
+    grown = lambda x: f"concat({x}, translate(substring({seed}, 1, {more}), 'abcdef', '012345'))" if more > 0 else x
     octets = f"array_join(transform(split(canon, '[.]'), (o, i) -> CAST(1 + pmod(xxhash64({seed}, i, 'o'), 254) AS string)), '.')"
-    longer = f"concat(substring_index(_image, '@', 1), substring({seed}, 1, {attempt - GROWS + 1}))" if attempt >= GROWS else "substring_index(_image, '@', 1)"
-    email = f"concat({longer}, '@', CASE WHEN instr(substring_index(canon, '@', -1), '.') > 0 THEN concat(substring(substring_index(_image, '@', -1), 1, length(substring_index(canon, '@', -1)) - length(substring_index(canon, '.', -1))), substring_index(canon, '.', -1)) ELSE substring_index(_image, '@', -1) END)"
-    phone = "CASE WHEN canon LIKE '+%' THEN concat(regexp_extract(canon, '^[+][0-9]{1,3}?(?=[^0-9]|[0-9]{7})', 0), substring(_image, 1 + length(regexp_extract(canon, '^[+][0-9]{1,3}?(?=[^0-9]|[0-9]{7})', 0)))) ELSE _image END"
-    country = "concat(substring(canon, 1, 2), substring(_image, 3))"
-    plain, image = "translate(canon, ' -', '')", "translate(_image, ' -', '')"
-    head = f"substring({image}, 1, length({image}) - 1)"
-    card = f"""CASE WHEN {_luhn(plain)} = 0
-        THEN concat(substring(_image, 1, length(_image) - 1), CAST(pmod(10 - {_luhn(f"concat({head}, '0')")}, 10) AS string))
-        ELSE _image END"""
-    bare = "regexp_replace(canon, '^[^ ]+ ', '')"
-    female = "substring_index(replace(canon, '.', ''), ' ', 1) IN (" + ", ".join(f"'{t.lower()}'" for t in TITLES_F) + ")"
+    local = f"concat(substring_index(_image, '@', 1), substring({seed}, 1, {more}))" if more > 0 else "substring_index(_image, '@', 1)"
+    email = f"concat({local}, '@', CASE WHEN instr(substring_index(canon, '@', -1), '.') > 0 THEN concat(substring(substring_index(_image, '@', -1), 1, length(substring_index(canon, '@', -1)) - length(substring_index(canon, '.', -1))), substring_index(canon, '.', -1)) ELSE substring_index(_image, '@', -1) END)"
+    code = f"(CASE WHEN canon NOT LIKE '+%' THEN 0 WHEN canon RLIKE '^[+](?:{CODES[1]})' THEN 2 WHEN canon RLIKE '^[+](?:{CODES[2]})' THEN 3 ELSE 4 END)"
+    phone = grown(f"concat(substring(canon, 1, {code}), substring(_image, 1 + {code}))")
+    # Check digits are right where the entity's are.
+    head = "substring(_image, 1, length(_image) - 1)"
+    card = grown(f"""CASE WHEN {_luhn("canon")} = 0 THEN concat({head}, CAST(pmod(10 - {_luhn(f"concat({head}, '0')")}, 10) AS string)) ELSE _image END""")
+    land, rest = "substring(canon, 1, 2)", grown("substring(_image, 5)")
+    check = f"lpad(CAST(98 - {_mod97(f"concat({rest}, {land}, '00')")} AS string), 2, '0')"
+    iban = f"concat({land}, CASE WHEN {_mod97(f"concat(substring(canon, 5), substring(canon, 1, 4))")} = 1 THEN {check} ELSE substring(_image, 3, 2) END, {rest})"
+    female = f"(gender = 'f' OR gender = '' AND pmod(xxhash64({seed}, 's'), 2) = 0)"
+    cyrillic = "canon RLIKE '[а-яё]'"
 
     def given(gender: str) -> str:
         one = lambda script: f"element_at({_array(GIVEN[gender, script])}, 1 + CAST(pmod(xxhash64({seed}, 'g'), {len(GIVEN[gender, script])}) AS int))"
-        return f"IF({bare} RLIKE '[а-яё]', {one('cyrillic')}, {one('latin')})"
+        return f"IF({cyrillic}, {one('cyrillic')}, {one('latin')})"
 
     one = lambda script: f"element_at({_array(FAMILY[script])}, 1 + CAST(pmod(xxhash64({seed}, 'f'), {len(FAMILY[script])}) AS int))"
     # Names come from short lists; later attempts, and many people, get a further part to stay apart.
-    more = f"concat('-', initcap(substring(translate(_image, ' .', ''), 1, {2 + attempt})))" if attempt else "''"
-    family = f"concat(' ', IF({bare} RLIKE '[а-яё]', concat({one('cyrillic')}, IF({female}, 'а', '')), {one('latin')}), {more})"
-    name = f"lower(concat(substring_index(canon, ' ', 1), ' ', IF({female}, {given('f')}, {given('m')}), IF({bare} LIKE '% %' OR {attempt} > 0, {family}, '')))"
-    made = F.expr(f"CASE type WHEN 'ip' THEN {octets} WHEN 'email' THEN {email} WHEN 'phone' THEN {phone} WHEN 'card' THEN {card} WHEN 'iban' THEN {country} WHEN 'name' THEN {name} ELSE _image END")
+    further = f"concat('-', substring(translate(_image, ' .-', ''), 1, {2 + attempt}), substring({seed}, 1, {max(more, 0)}))" if attempt else "''"
+    family = f"concat(' ', IF({cyrillic}, concat({one('cyrillic')}, IF({female}, 'а', '')), {one('latin')}), {further})"
+    name = f"lower(concat(IF({female}, {given('f')}, {given('m')}), IF(canon LIKE '% %' OR {attempt} > 0, {family}, '')))"
+    cases = {"ip": octets, "email": email, "phone": phone, "card": card, "ssn": grown("_image"), "iban": iban, "name": name}
+    made = F.expr("CASE type " + " ".join(f"WHEN '{t}' THEN {sql}" for t, sql in cases.items()) + " END")
     return df.withColumn("surrogate", made).drop(seed, "_image")
 
 
 def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
     """(type, canon, surrogate), one row for each distinct entity, surrogates distinct and unused.
 
-    Each round draws for the entities still without one; the least entity of a clash keeps the
-    draw.  Rounds after the first concern the few that clashed.
+    A ``gender`` may say f or m of names; of one name's, the greatest counts.  Each round draws for the
+    entities still without a surrogate; the least entity of a clash keeps the draw.  Rounds after the
+    first concern the few that clashed.
     """
-    left = cut(entities.distinct(), "entities")
+    if "gender" not in entities.columns:
+        entities = entities.withColumn("gender", F.lit(""))
+    left = cut(entities.groupBy("type", "canon").agg(F.max("gender").alias("gender")), "entities")
     real = left.select(F.col("canon").alias("surrogate"))
-    done = None
-    for attempt in range(ROUNDS):
+    done, attempt = None, 0
+    while True:
         drawn = with_surrogates(left, key, attempt)
         first = drawn.groupBy("surrogate").agg(F.min("canon").alias("_first"))
         taken = real if done is None else real.unionByName(done.select("surrogate"))
         first = first.join(taken, "surrogate", "left_anti")
         settled = drawn.join(first, "surrogate", "left")
-        drawn = cut(settled.select("type", "canon", "surrogate", F.coalesce(F.col("_first") == F.col("canon"), F.lit(False)).alias("ok")), "drawn")
-        won = drawn.where("ok").drop("ok")
+        drawn = cut(settled.select("type", "canon", "gender", "surrogate", F.coalesce(F.col("_first") == F.col("canon"), F.lit(False)).alias("ok")), "drawn")
+        won = drawn.where("ok").select("type", "canon", "surrogate")
         done = won if done is None else done.unionByName(won)
-        left = drawn.where("NOT ok").select("type", "canon")
+        left = drawn.where("NOT ok").select("type", "canon", "gender")
         if left.isEmpty():
             return done
-    raise RuntimeError(f"entities without a free surrogate after {ROUNDS} rounds")
+        attempt += 1
+
+
+_BARE = f"regexp_replace(entity, {quoted('^' + _TITLE)}, '')"
+
+
+def _canon() -> str:
+    """SQL of what an ``entity`` of ``type`` is called in every mention."""
+    return f"""CASE WHEN type = 'phone' THEN concat(IF(entity LIKE '+%', '+', ''), regexp_replace(entity, '[^0-9]', ''))
+        WHEN type IN ('card', 'ssn') THEN regexp_replace(entity, '[^0-9]', '')
+        WHEN type = 'iban' THEN lower(regexp_replace(entity, '[^A-Za-z0-9]', ''))
+        WHEN type = 'name' THEN lower({_BARE}) ELSE lower(entity) END"""
 
 
-def _canon(entity: str) -> str:
-    return f"lower({entity})"
+def _gender() -> str:
+    """SQL of the gender that a name's title or its given name tells."""
+    title = lambda names: f"entity RLIKE {quoted('^(?:(?:' + '|'.join(TITLES_N) + r')\.? )*(?:' + '|'.join(names) + r')\.? ')}"
+    known = lambda g: f"substring_index({_BARE}, ' ', 1) IN ({', '.join(repr(n) for n in KNOWN[g])})"
+    return f"CASE WHEN type <> 'name' THEN '' WHEN {title(TITLES_F)} THEN 'f' WHEN {title(TITLES_M)} THEN 'm' WHEN {known('f')} THEN 'f' WHEN {known('m')} THEN 'm' ELSE '' END"
+
+
+def _shown() -> str:
+    """SQL of the mention ``entity`` with its ``surrogate``: its own punctuation, title and letter case."""
+    plain = "translate(surrogate, '+', '')"
+    before = "length(regexp_replace(substring(entity, 1, i), '[^0-9A-Za-z]', ''))"
+    letter = f"substring({plain}, 1 + {before}, 1)"
+    filled = f"""concat(array_join(transform(split(entity, ''), (c, i) -> CASE WHEN c BETWEEN 'A' AND 'Z' THEN upper({letter}) WHEN c RLIKE '[0-9a-z]' THEN {letter} ELSE c END), ''),
+        substring({plain}, 1 + length(regexp_replace(entity, '[^0-9A-Za-z]', ''))))"""
+    return f"""CASE WHEN type IN ('phone', 'card', 'ssn', 'iban') THEN {filled}
+        WHEN type = 'name' THEN concat(substring(entity, 1, length(entity) - length({_BARE})), IF({_BARE} = upper({_BARE}), upper(surrogate), initcap(surrogate)))
+        WHEN entity = lower(entity) THEN surrogate WHEN entity = upper(entity) THEN upper(surrogate)
+        ELSE concat(upper(substring(surrogate, 1, 1)), substring(surrogate, 2)) END"""
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -182,17 +236,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     mentions = cut(
         keyed.select("_row", F.posexplode("_found").alias("pos", "entity"))
         .withColumn("type", entity_type("entity"))
-        .withColumn("canon", F.expr(_canon("entity"))),
+        .withColumn("canon", F.expr(_canon())),
         "mentions",
     )
-    names = surrogate_map(mentions.select("type", "canon"), key)
-    # A mention is written as its entity is: in capitals, with a capital for each word, or plainly.
-    shown = F.expr(
-        """CASE WHEN entity = lower(entity) THEN surrogate WHEN entity = upper(entity) THEN upper(surrogate)
-        WHEN type = 'name' THEN concat(substring_index(entity, ' ', 1), substring(initcap(surrogate), length(substring_index(entity, ' ', 1)) + 1))
-        ELSE concat(upper(substring(surrogate, 1, 1)), substring(surrogate, 2)) END"""
-    )
-    per_row = mentions.join(names, ["type", "canon"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("pos", shown.alias("s")))).alias("_names"))
+    names = surrogate_map(mentions.select("type", "canon", F.expr(_gender()).alias("gender")), key)
+    per_row = mentions.join(names, ["type", "canon"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("pos", F.expr(_shown()).alias("s")))).alias("_names"))
     rebuilt = F.expr(f"array_join(flatten(zip_with(split(text, {pattern}, -1), _names, (g, n) -> array(g, coalesce(n.s, '')))), '')")
     changed = keyed.join(per_row, "_row").select("doc_id", rebuilt.alias("text"), F.size("_found").cast("long").alias("n_entities"))
     return clean.unionByName(changed)

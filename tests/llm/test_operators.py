@@ -116,6 +116,45 @@ def test_addresses_of_all_scripts_get_surrogates(spark):
     assert re.match("Mail [\u4e00-\u9fff]{2}@", got[0][0]) and re.match("Mail [\u05d0-\u05ea]{3}@", got[2][0])
 
 
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def test_mentions_of_one_entity_stay_one(spark):
+    texts = [
+        "Call +1 974-555-3436 or +1 (974) 555-3436.", "Card 4111 1111 1111 1111, 4111111111111111, 4111-1111-1111-1111.", "To DE89 3704 0044 0532 0130 00 or DE89370400440532013000.",
+        "Mrs. Anna Schmidt met Mrs Anna Schmidt and Anna Schmidt, Dr. Bob Roth met Bob Roth.", "MRS stays. Ring +33 1 23 45 67 89 or +49 (0)30 1234567 now, +33 12 34 56 78 90 too.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.pseudonymise(df, "k").collect()}
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    first, second = re.fullmatch(r"Call (\+1 \d{3}-\d{3}-\d{4}) or (\+1 \(\d{3}\) \d{3}-\d{4})\.", by[0][0]).groups()
+    assert digits(first) == digits(second) != "19745553436"
+    cards = re.findall(r"\d[\d -]{14,}\d", by[1][0])
+    assert len(cards) == 3 and len({digits(c) for c in cards}) == 1 and digits(cards[0]) != "4" + "1" * 15
+    one, two = re.fullmatch(r"To (DE\d\d (?:\d{4} ){4}\d\d) or (DE\d{20})\.", by[2][0]).groups()
+    assert one.replace(" ", "") == two != "DE89370400440532013000" and mod97(two) == 1
+    a, b, c, d, e = re.fullmatch(r"Mrs\. (\S+ \S+) met Mrs (\S+ \S+) and (\S+ \S+), Dr\. (\S+ \S+) met (\S+ [^.]+)\.", by[3][0]).groups()
+    assert a == b == c != "Anna Schmidt" and d == e != "Bob Roth" and by[3][1] == 5
+    assert a.split()[0] in pii.GIVEN["f", "latin"] and d.split()[0] in pii.GIVEN["m", "latin"]
+    assert by[4][1] == 3 and re.match(r"MRS stays\. Ring \+33 \d \d\d \d\d \d\d \d\d or \+49 \(\d\)\d\d \d{7} now, \+33 \d\d \d\d \d\d \d\d \d\d too\.", by[4][0]), by[4]
+    assert not any(x in by[4][0] for x in ("23 45", "1234567", "56 78 90"))
+
+
+def test_small_spaces_of_names_do_not_run_out(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    df = spark.createDataFrame([("email", f"{a}@{b}.co") for a in letters for b in letters] + [("name", "anna x")], "type string, canon string")
+    made = [r["surrogate"] for r in pii.surrogate_map(df, "k").collect()]
+    assert len(made) == len(set(made)) == 677
+
+
+def test_surrogates_on_odd_rows(spark):
+    long = "word " * 60000 + "Mail a.b@c.example " * 3
+    df = spark.createDataFrame([(1, long, "x", 5), (1, long, "y", 5), (None, None, None, None)], "doc_id long, text string, surrogate string, n_entities long")
+    got = [(r["doc_id"], r["n_entities"], len(r["text"] or "")) for r in pii.pseudonymise(df, "k").collect()]
+    assert sorted(got, key=str) == [(1, 3, len(long)), (1, 3, len(long)), (None, 0, 0)]
+
+
 def test_short_addresses_do_not_run_out(spark):
     df = spark.createDataFrame([("email", f"{a}@{b}.x") for a in range(10) for b in range(10)], "type string, canon string")
     made = [r["surrogate"] for r in pii.surrogate_map(df, "k").collect()]
