@@ -70,29 +70,31 @@ def measure(text: str, limits: dict[int, float]) -> tuple:
             else:
                 seen.add(line)
     n_repeat, shares = 0, [0.0] * len(limits)
-    if n_words >= 3:
+    if n_words >= 2:
         hashes = np.fromiter(map(hash, words), np.int64, n_words).view(np.uint64) * _MIX
         sizes = None
         rolled = hashes
-        for n in range(2, max(limits, default=3) + 1):
+        for n in range(2, max(3, *limits) + 1):
             if n > n_words:
                 break
             rolled = (rolled[:-1] * _STEP) ^ (hashes[n - 1 :] + (rolled[:-1] >> np.uint64(31)))
+            if n != 3 and n not in limits:
+                continue
+            marks = repeated(rolled)
+            if not marks.any():
+                if n < 3:
+                    continue
+                break  # a repeated longer n-gram holds a repeated one of n words
+            inside = covered(marks, n, n_words)
             if n == 3:
-                marks = repeated(rolled)
-                if not marks.any():
-                    break  # a repeated longer n-gram holds a repeated one of 3 words
-                n_repeat = int(covered(marks, 3, n_words).sum())
-            elif n in limits:
-                marks = repeated(rolled)
-                if not marks.any():
-                    break
+                n_repeat = int(inside.sum())
+            if n in limits:
                 if sizes is None:
                     # UTF-8 continuation bytes are not characters of their own.
                     sizes = np.fromiter(map(len, words), np.int64, n_words)
                     if len(raw) != len(text):
                         sizes = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in words), np.int64, n_words)
-                shares[list(limits).index(n)] = float(sizes[covered(marks, n, n_words)].sum()) / word_chars
+                shares[list(limits).index(n)] = float(sizes[inside].sum()) / word_chars
     line_share = dup_chars / line_chars if line_chars else 0.0
     failed = n_words < MIN_WORDS or 100 * n_repeat > 50 * n_words
     kept = not failed and line_share <= LINE_LIMIT and all(s <= m for s, m in zip(shares, limits.values()))
@@ -100,8 +102,13 @@ def measure(text: str, limits: dict[int, float]) -> tuple:
 
 
 def repetition_rules(docs: DataFrame, limits: dict[int, float] | None = None) -> DataFrame:
-    """Counts, coverages and the verdict of every document (see ``MEASURES``)."""
+    """Counts, coverages and the verdict of every document (see ``MEASURES``).
+
+    ``limits``: length of n-grams, of 2 words or more, -> largest share of characters inside repeated ones.
+    """
     limits = dict(sorted((limits or COVERAGE_LIMITS).items()))
+    if min(limits) < 2:
+        raise ValueError("n-grams have two words or more")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     types = [pa.int64()] * 5 + [pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.bool_()]
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_coverage", "coverage", "base_failed", "kept"]
