@@ -1,7 +1,9 @@
 """Quality classification by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives and unlabelled web text are all the risk sees; negatives enter only through the
-class prior, which is the share of positives among the labelled rows of the learning folds.  The
+Trusted positives and unlabelled web text are all that is learned from.  The class prior is estimated
+from them: a linear separator of the two, on measures of shape, scores parts it was not fitted on; the
+share of unlabelled texts above a score that nearly all positives pass, over the share of positives
+that pass it, is the prior, as far as hardly a negative passes.  The
 model is a small two-layer net on hashed byte pairs and measures of shape, trained in numpy; where
 the estimated negative risk of a batch falls below zero, the step ascends instead of descending.
 
@@ -140,6 +142,33 @@ class PositiveUnlabelled:
         return 1 / (1 + np.exp(-np.clip(g.astype(np.float64), -40, 40)))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2, passing: float = 0.995, steps: int = 150) -> float:
+    """The share of positives among the unlabelled rows, from the distribution of held-out scores."""
+    rng = np.random.default_rng(3)
+    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
+    p, u = (squash((x - mean) / scale)[:, PAIRS:].astype(np.float64) for x in (positive, unlabelled))
+    of_p, of_u = rng.permutation(len(p)) % folds, rng.permutation(len(u)) % folds
+    found = []
+    for fold in range(folds):
+        a, b = p[of_p != fold], u[of_u != fold]
+        held, rest = p[of_p == fold], u[of_u == fold]
+        if not min(map(len, (a, b, held, rest))):
+            continue
+        x = np.concatenate([a, b])
+        y = np.concatenate([np.ones(len(a)), np.zeros(len(b))])
+        weight = np.concatenate([np.full(len(a), 0.5 / len(a)), np.full(len(b), 0.5 / len(b))])
+        w, first, second = np.zeros(x.shape[1] + 1), 0.0, 0.0
+        for k in range(1, steps + 1):
+            slope = weight * (1 / (1 + np.exp(-(x @ w[1:] + w[0]))) - y)
+            grad = np.concatenate([[slope.sum()], x.T @ slope + 1e-4 * w[1:]])
+            first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
+            w = w - 0.05 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
+        own, other = held @ w[1:], rest @ w[1:]
+        bar = np.quantile(own, 1 - passing)
+        found.append((other >= bar).mean() / (own >= bar).mean())
+    return float(min(1.0, np.mean(found))) if found else 0.5
+
+
 def _drawn(docs: DataFrame, most: int, name: str) -> DataFrame:
     total = docs.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -160,7 +189,10 @@ def _feature_rows(docs: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable=None, most_positive: int = 2500, most_unlabelled: int = 5000) -> PositiveUnlabelled:
-    """Fit on the labels and documents that ``learnable`` (a condition on doc_id) admits."""
+    """Fit on the labels and documents that ``learnable`` (a condition on doc_id) admits.
+
+    Labels other than 1 serve only where there is no positive text: then all scores are their share of ones.
+    """
     learnable = F.lit(True) if learnable is None else learnable
     known = labels.where(learnable & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality")
     count = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.col("quality").cast("double")), F.lit(0.5)).alias("share")).first()
@@ -172,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable=None, most_positive: int
     positive = _feature_rows(docs.join(F.broadcast(trusted), "doc_id", "left_semi"))
     unlabelled = _feature_rows(_drawn(docs.where(learnable), most_unlabelled, "web"))
     if len(positive) and len(unlabelled):
+        model = PositiveUnlabelled(estimated_prior(positive, unlabelled))
         model.fit(positive, unlabelled)
     return model
 
