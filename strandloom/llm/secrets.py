@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .spans import SPAN, match_spans, written
+from .spans import SPAN, in_chunks, match_spans, written
 
 # The base patterns, in the order of the kinds.
 KINDS = ["assign", "access", "hex"]
@@ -54,7 +54,10 @@ def _pair_counts(strings: DataFrame) -> dict[tuple[str, str], int]:
 
 
 def labelled_samples(docs: DataFrame, most_docs: int = 300) -> tuple[DataFrame, DataFrame]:
-    """(random strings, ordinary identifiers), each with one column ``s``."""
+    """(random strings, ordinary identifiers), each with one column ``s``.
+
+    The words are those of about ``most_docs`` whole documents, drawn by a hash of the id.
+    """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     digests = spark.range(0, 3000, 1, 2)
@@ -64,7 +67,7 @@ def labelled_samples(docs: DataFrame, most_docs: int = 300) -> tuple[DataFrame,
     total = docs.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("identifiers")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     words = docs.where(draw < (most_docs / total if total else 1.0)).select(
-        F.expr("slice(array_distinct(regexp_extract_all(text, '[A-Za-z]{4,}', 0)), 1, 60)").alias("w")
+        F.expr("array_distinct(regexp_extract_all(text, '[A-Za-z]{4,}', 0))").alias("w")
     )
     fixed = [WORDS[k:] + WORDS[:k] for k in range(0, len(WORDS), 7)]
     words = words.unionByName(spark.createDataFrame([(w,) for w in fixed], "w array<string>"))
@@ -180,12 +183,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redacted(text: str = "text", spans: str = "spans", mark: str = "[SECRET]") -> Column:
     """The text with every stretch of overlapping spans replaced by a mark."""
+    # Kept stretches lie between the reach of earlier spans and the next start beyond it.
+    step = f"""(s, x) -> named_struct('at', greatest(s.at, x.end),
+        'out', IF(x.start >= s.at, concat(s.out, array(substring({text}, s.at + 1, x.start - s.at))), s.out))"""
+    pieces = in_chunks(f"{spans}", "0", "array<string>", step)
     return F.expr(
         f"""CASE WHEN size({spans}) = 0 THEN {text} ELSE
-          aggregate({spans}, named_struct('at', 0, 'out', ''),
-            (s, x) -> IF(x.start >= s.at,
-              named_struct('at', x.end, 'out', concat(s.out, substring({text}, s.at + 1, x.start - s.at), '{mark}')),
-              named_struct('at', greatest(s.at, x.end), 'out', s.out)),
-            s -> concat(s.out, substring({text}, s.at + 1)))
-        END"""
+          concat(array_join({pieces}, '{mark}'), '{mark}', substring({text}, 1 + aggregate({spans}, 0, (m, x) -> greatest(m, x.end)))) END"""
     )
