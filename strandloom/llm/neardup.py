@@ -352,7 +352,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one of the least id, all columns kept."""
+    """``docs`` with one document of each component: the one of the least id, all columns kept.
+
+    Rows without an id stay; of rows of equal id and text one stays; rows that share an id but not their
+    text stay together or go together.
+    """
     dropped = near_duplicates(docs.select("doc_id", "text"), width, percent).where("NOT kept").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").select(docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    same = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.col("text").isNull().alias("c"))
+    return named.withColumn("_same", same).dropDuplicates(["doc_id", "_same"]).drop("_same").unionByName(docs.where("doc_id IS NULL"))
