@@ -282,6 +282,54 @@ def test_repetition_counts(docs, empty):
     assert not repetition.measure("one two three four five six seven eight nine ten eleven twelve " * 10, repetition.COVERAGE_LIMITS)[-1]
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_prior_is_estimated_from_positives_and_unlabelled_text(share):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(300)]
+
+    def texts(n, good):
+        return [" ".join(rng.choice(words, rng.integers(60, 200))) if good else " ".join(rng.choice(["BUY", "now!!!", "$$$", "###", "click", "|"], rng.integers(20, 200))) for _ in range(n)]
+
+    def rows(found):
+        raw = [t.encode() for t in found]
+        return quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+
+    n = 600
+    unlabelled = rows(texts(int(n * share), True) + texts(n - int(n * share), False))
+    positive, good, bad = rows(texts(250, True)), rows(texts(100, True)), rows(texts(100, False))
+    prior = quality.estimated_prior(positive, unlabelled)
+    assert abs(prior - share) < 0.05
+    right = lambda m: ((m.score(good) >= 0.7).mean() + (m.score(bad) < 0.7).mean()) / 2
+    assert right(quality.PositiveUnlabelled(prior).fit(positive, unlabelled)) > 0.97
+    # A prior that is off by a tenth moves few decisions.
+    assert right(quality.PositiveUnlabelled(prior - 0.1).fit(positive, unlabelled)) > 0.9
+    assert quality.estimated_prior(positive[:1], unlabelled[:1]) == 0.5
+
+
+def test_repetition_coverage_equals_brute_force():
+    rng = np.random.default_rng(9)
+    limits = {2: 0.9, 3: 0.5, 5: 0.3, 7: 0.2}
+    for size in (0, 1, 2, 3, 40, 90, 200):
+        for letters in ("ab", "abcdeé", "abcdefghijklmnopqrstuvwxyz"):
+            w = ["".join(rng.choice(list(letters), rng.integers(1, 5))) for _ in range(size)]
+            text = " ".join(w) + ("\n" + " ".join(w[:20])) * int(rng.integers(3)) + " # $a <b> |"
+            w = re.findall(r"[^\x20\x09-\x0D]+", text)
+            chars, shares, repeats = sum(map(len, w)), [], 0
+            for n in limits:
+                windows = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+                inside = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(n)}
+                shares.append(sum(len(w[k]) for k in inside) / chars)
+                repeats = len(inside) if n == 3 else repeats
+            lines = [x for x in text.split("\n") if x.strip()]
+            again = sum(len(x.encode()) for k, x in enumerate(lines) if x in lines[:k]) / sum(len(x.encode()) for x in lines)
+            failed = len(w) < 50 or 100 * repeats > 50 * len(w)
+            want = not failed and again <= repetition.LINE_LIMIT and all(s <= m for s, m in zip(shares, limits.values()))
+            got = repetition.measure(text, limits)
+            assert got[:3] == (len(w), chars, sum(c in "#*$%&|<>" for c in text)) and got[4] == repeats
+            assert got[5] == pytest.approx(again) and got[6] == pytest.approx(shares) and got[7:] == (failed, want)
+    assert repetition.measure("a b a b", {2: 0.1})[4] == 0
+
+
 def test_trie_bpe_equals_the_library(docs, empty):
     from tokenizers import Tokenizer
 
