@@ -116,7 +116,7 @@ def graph_rows(graph: SpliceGraph, options: Options, kinds: tuple[str, ...] = KI
     if not {"k", "isoform"} & set(kinds):
         return rows
     found, tried = paths.assemble(graph.paths(), graph.minus, o.isoform_frac, o.max_isoforms, o.path_kmax, o.path_frac, o.max_paths, o.path_graph_loss_threshold if o.limit_loss else None)
-    rows += [{"kind": "k", **place, **r} for r in tried]
+    rows += [{"kind": "k", **place, **r} for r in tried] if "k" in kinds else []
     for r in found if "isoform" in kinds else ():
         exons = [{"start": a, "end": b} for a, b in r["exons"]]
         rows.append({"kind": "isoform", **place, **r, "exons": exons, "start": exons[0]["start"], "end": exons[-1]["end"]})

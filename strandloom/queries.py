@@ -558,7 +558,7 @@ def array_lookups(spark, d):
     p = exons(spark, d).groupBy("seqid").agg(F.array_sort(F.collect_set("start")).alias("a"))
     part = arrays.padded_slice(a.cast("array<double>"), F.lit(10).cast("long"), F.lit(12).cast("long"), F.lit(16).cast("long"))
     at = F.lit(1000).cast("long")
-    return p.select("seqid", arrays.bisect_left(a, at).alias("below"), arrays.bisect_right(a, at).alias("upto"), arrays.between(a, at, F.lit(1100).cast("long")).alias("inside"), F.aggregate(part, F.lit(0.0), lambda x, y: x + y).alias("padded"))
+    return p.select("seqid", arrays.bisect_left(a, at).cast("long").alias("below"), arrays.bisect_right(a, at).cast("long").alias("upto"), arrays.between(a, at, F.lit(1100).cast("long")).alias("inside"), F.aggregate(part, F.lit(0.0), lambda x, y: x + y).alias("padded"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
@@ -675,7 +675,7 @@ def splice_graph_gtf(spark, d):
     return assembly.graph_gtf(_assembled(spark, d).found)
 
 
-@query(f"""WITH {_GENES}, k AS (SELECT * FROM g, (VALUES (1, 5, 77.0::DOUBLE), (2, 6, 59.0), (3, 6, 43.0), (4, 5, 26.0), (5, 4, 18.0)) v(k, n, w))
+@query(f"""WITH {_GENES}, k AS (SELECT * FROM g, (VALUES (1, 5, 77.0::DOUBLE), (2, 6, 59.0), (3, 6, 41.0), (4, 5, 28.0)) v(k, n, w))
 SELECT CAST(seqid AS VARCHAR) AS seqid, 0::BIGINT AS start, 900::BIGINT AS "end", strand, k::BIGINT AS k, 5::BIGINT AS kmax, 4::BIGINT AS transfrags, n::BIGINT AS kmers, 0::BIGINT AS short_transfrags, 0::BIGINT AS lost_kmers, w * size AS tot_expr, 0.0::DOUBLE AS lost_expr, 0.0::DOUBLE AS lost_expr_frac, 1::BIGINT AS valid FROM k""")
 def optimal_k(spark, d):
     return assembly.path_statistics(_assembled(spark, d).found)
