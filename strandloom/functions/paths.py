@@ -54,38 +54,47 @@ def kmer_graph(paths: list[tuple[tuple, float, bool, bool]], k: int) -> KmerGrap
     """
     g = KmerGraph()
     ids: dict[tuple, int] = {}
+    names, weight, ends, begins, after, before = g.names, g.weight, g.ends, g.begins, g.after, g.before
     for index, (path, expr, starts, stops) in enumerate(paths):
-        whole = starts and stops
-        if len(path) < k and not whole:
+        if len(path) < k and not (starts and stops):
             g.short.append(index)
             continue
-        walk = [SOURCE] if starts else []
-        for name in [path] if len(path) < k else windows(path, k):
-            if name not in ids:
-                ids[name] = len(g.names)
-                g.names.append(name)
-                for column in (g.weight, g.ends, g.begins):
-                    column.append(0.0)
-                g.after.append(set())
-                g.before.append(set())
-            walk.append(ids[name])
+        last = SOURCE if starts else None
+        if starts:
+            weight[SOURCE] += expr
+            begins[SOURCE] += expr
+        for name in (path,) if len(path) < k else windows(path, k):
+            node = ids.get(name)
+            if node is None:
+                ids[name] = node = len(names)
+                names.append(name)
+                weight.append(expr)
+                ends.append(0.0)
+                begins.append(0.0)
+                after.append(set())
+                before.append(set())
+            else:
+                weight[node] += expr
+            if last is None:
+                begins[node] += expr
+            else:
+                after[last].add(node)
+                before[node].add(last)
+            last = node
         if stops:
-            walk.append(SINK)
-        for node in walk:
-            g.weight[node] += expr
-        g.begins[walk[0]] += expr
-        g.ends[walk[-1]] += expr
-        for a, b in zip(walk, walk[1:]):
-            g.after[a].add(b)
-            g.before[b].add(a)
+            weight[SINK] += expr
+            after[last].add(SINK)
+            before[SINK].add(last)
+            last = SINK
+        ends[last] += expr
     g.live = _closure(SOURCE, g.after) & _closure(SINK, g.before)
-    for node in range(2, len(g.names)):
-        if node not in g.live:
+    gone = [node for node in range(len(names)) if node not in g.live]
+    for node in gone:
+        if node > SINK:
             g.lost_kmers += 1
-            g.lost_weight += g.weight[node]
-    for steps in (g.after, g.before):
-        for node in range(len(steps)):
-            steps[node] = steps[node] & g.live if node in g.live else set()
+            g.lost_weight += weight[node]
+    for steps in (after, before) if gone else ():
+        steps[:] = [own & g.live if node in g.live else set() for node, own in enumerate(steps)]
     return g
 
 
@@ -122,8 +131,8 @@ def unimodal_maximum(f, low: int, high: int) -> tuple[int | None, float]:
     return best, value(best)
 
 
-def choose_k(paths: list, kmax: int = 0, loss_threshold: float | None = None) -> tuple[int, list[dict]]:
-    """The k with most reachable k-mers and a row of figures for every k that was tried.
+def choose_k(paths: list, kmax: int = 0, loss_threshold: float | None = None) -> tuple[int, list[dict], KmerGraph | None]:
+    """The k with most reachable k-mers, a row of figures for every k that was tried, the graph of the first.
 
     With a ``loss_threshold``, a k whose unreachable k-mers hold a larger share of expression counts
     like a graph without a path.
@@ -131,16 +140,22 @@ def choose_k(paths: list, kmax: int = 0, loss_threshold: float | None = None) ->
     longest = max((len(p[0]) for p in paths), default=0)
     top = min(longest, kmax) if kmax else longest
     rows: list[dict] = []
+    best: list = [None, None]
 
     def tried(k: int) -> int:
         g = kmer_graph(paths, k)
         total = sum(g.weight[n] for n in g.live - {SOURCE, SINK})
         lost = g.lost_weight
         rows.append({"k": k, "kmax": top, "transfrags": len(paths), "kmers": len(g.live - {SOURCE, SINK}), "short_transfrags": len(g.short), "lost_kmers": g.lost_kmers, "tot_expr": total, "lost_expr": lost, "lost_expr_frac": lost / total if total else 0.0, "valid": int(g.valid)})
-        return -k if loss_threshold is not None and lost > loss_threshold * total else score(g, k)
+        value = -k if loss_threshold is not None and lost > loss_threshold * total else score(g, k)
+        if best[0] is None or (value, -k) > best[0]:
+            best[:] = (value, -k), g
+        return value
 
     k, _ = unimodal_maximum(tried, 1, top) if top else (0, 0)
-    return k or 0, rows
+    # The search may end at another k than the best it came by.
+    graph = best[1] if best[0] is not None and -best[0][1] == k else kmer_graph(paths, k) if k else None
+    return k or 0, rows, graph
 
 
 def rescue(g: KmerGraph, paths: list) -> int:
@@ -272,8 +287,7 @@ def gene_clusters(paths: list[tuple[tuple, float]], min_frac: float = 0.0) -> tu
 
 def assemble(paths: list[tuple[tuple, float, bool, bool]], minus: bool, isoform_frac: float = 0.05, max_isoforms: int = 0, kmax: int = 0, path_frac: float = 0.0, max_paths: int = 0, loss_threshold: float | None = None) -> tuple[list[dict], list[dict]]:
     """Isoforms of the paths of one splice graph, whose nodes are intervals; the rows of the choice of k."""
-    k, tried = choose_k(paths, kmax, loss_threshold)
-    g = kmer_graph(paths, k) if k else None
+    _, tried, g = choose_k(paths, kmax, loss_threshold)
     if g is None or not g.valid:
         return [], tried
     rescue(g, paths)

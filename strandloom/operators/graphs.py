@@ -56,19 +56,21 @@ def components(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): length of the longest path that ends at a node of an acyclic graph.
 
-    Ordering by (level, node) is a topological order.  Raises on a cycle.
+    Ordering by (level, node) is a topological order.  Each round takes off the nodes without
+    predecessors; raises once none is left to take off a cycle.
     """
     edges = cut(edges.select("src", "dst").distinct(), "edges")
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    total = nodes.count()
-    level = cut(nodes.withColumn("level", F.lit(0)), "levels")
-    for k in range(1, total + 1):
-        # A node at level k has a predecessor at level k - 1 in the graph that is left.
-        front = level.where(F.col("level") == k - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+    left = cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct(), "left")
+    done, level = left.limit(0).withColumn("level", F.lit(0)), 0
+    while not left.isEmpty():
+        front = cut(left.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "front")
         if front.isEmpty():
-            return level
-        level = cut(level.join(front.withColumn("_up", F.lit(k)), "node", "left").select("node", F.coalesce("_up", "level").alias("level")), "levels")
-    raise ValueError("the graph has a cycle")
+            raise ValueError("the graph has a cycle")
+        done = done.unionByName(front.withColumn("level", F.lit(level)))
+        left = cut(left.join(front, "node", "left_anti"), "left")
+        edges = cut(edges.join(front, F.col("src") == F.col("node"), "left_anti"), "edges")
+        level += 1
+    return done
 
 
 def is_topological(order: DataFrame, edges: DataFrame) -> bool:
