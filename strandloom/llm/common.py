@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..durable import cut, shared_dir
+
+__all__ = ["ASCII_SPACE", "cut", "fold", "shared_dir", "slices", "table", "text_buffer"]
+
 #: ASCII white space, the separators of words in the contracts: space and \t \n \v \f \r.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -18,37 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for durable intermediate tables.
-
-    ``spark.checkpoint.dir`` wins; a local temporary folder is made only where the setting is
-    absent and the master is local (tests), never on a cluster.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This ends the lineage (a lost executor costs no recomputation of what is upstream), and
-    leaves a columnar table whose unused columns later readers skip.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(seed: int, column, modulus: int):
     """``crc32(id as text) mod modulus == seed``: the contracts' hold-out rule."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)) == seed
