@@ -6,9 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..durable import cut, shared_dir
+from ..durable import cut
 
-__all__ = ["ASCII_SPACE", "cut", "fold", "shared_dir", "slices", "table", "text_buffer"]
+__all__ = ["ASCII_SPACE", "cut", "fold", "slices", "table", "text_buffer"]
 
 #: ASCII white space, the separators of words in the contracts: space and \t \n \v \f \r.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
