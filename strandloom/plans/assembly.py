@@ -74,6 +74,7 @@ COMMON = {"kind", "seqid", "strand", "locus", "graph_start", "graph_end"}
 OF = {
     "node": ["start", "end", "low", "high", "mean", "is_start", "is_stop", "ref_starts", "ref_stops"],
     "changept": ["start", "end", "pos", "pvalue", "foldchange", "sign"],
+    "transfrag": ["start", "end", "exons", "expr"],
     "k": STATS,
     "isoform": ["start", "end", "gene", "rank", "exons", "expr", "rel_frac", "abs_frac"],
 }
@@ -99,7 +100,8 @@ def by_graph(t: DataFrame) -> DataFrame:
     return t.groupBy("seqid", "strand", "locus").agg(F.array_sort(F.collect_list(member)).alias("t"))
 
 
-KINDS = ("node", "changept", "k", "isoform")
+#: Nodes before change points, change points, transfrags as trimmed by them, tried ks, isoforms.
+KINDS = ("node", "changept", "transfrag", "k", "isoform")
 
 
 def graph_rows(graph: SpliceGraph, options: Options, kinds: tuple[str, ...] = KINDS) -> list[dict]:
@@ -113,6 +115,9 @@ def graph_rows(graph: SpliceGraph, options: Options, kinds: tuple[str, ...] = KI
     if o.change_point:
         for c in graph.refine(o.change_point_pvalue, o.change_point_fold_change, o.change_point_trim, o.compat):
             rows.append({"kind": "changept", **place, **{k: c[k] for k in ("start", "end", "pos", "pvalue", "foldchange", "sign")}})
+    for t in graph.own if "transfrag" in kinds else ():
+        exons = [{"start": a, "end": b} for a, b in t["exons"]]
+        rows.append({"kind": "transfrag", **place, "exons": exons, "start": exons[0]["start"], "end": exons[-1]["end"], "expr": t["expr"]})
     if not {"k", "isoform"} & set(kinds):
         return rows
     found, tried = paths.assemble(graph.paths(), graph.minus, o.isoform_frac, o.max_isoforms, o.path_kmax, o.path_frac, o.max_paths, o.path_graph_loss_threshold if o.limit_loss else None)

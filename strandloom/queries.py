@@ -681,12 +681,29 @@ def optimal_k(spark, d):
     return assembly.path_statistics(_assembled(spark, d).found)
 
 
-@query("""SELECT s_suppkey AS seqid, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 1110::BIGINT AS pos, -1 AS sign FROM supplier""")
-def change_points_of_ramps(spark, d):
+def _ramps(spark, d):
     """A ramp of coverage for every supplier: 50 weak transfrags over all of it, 20 strong ones that end one by one."""
     s = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("seqid"), F.when(F.col("s_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.explode(F.sequence(F.lit(0), F.lit(69))).alias("tx"))
     strong = F.col("tx") >= 50
     t = s.select("seqid", "strand", "tx", F.when(strong, 10.0).otherwise(1.0).alias("expr"), F.lit(False).alias("is_ref"), F.lit(1000).cast("long").alias("start"), F.when(strong, F.col("tx") + 1050).otherwise(1220).cast("long").alias("end"))
     t = t.withColumn("length", F.col("end") - F.col("start")).withColumn("exons", F.array(F.struct("start", "end")))
-    found = assembly.assembled(t, assembly.Options(min_transfrag_length=0)).of("changept")
-    return found.select(F.col("seqid").cast("long").alias("seqid"), "strand", "pos", "sign")
+    return assembly.assembled(t, assembly.Options(min_transfrag_length=0))
+
+
+@query("""SELECT s_suppkey AS seqid, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 1110::BIGINT AS pos, -1 AS sign FROM supplier""")
+def change_points_of_ramps(spark, d):
+    return _ramps(spark, d).of("changept").select(F.col("seqid").cast("long").alias("seqid"), "strand", "pos", "sign")
+
+
+@query("""WITH t AS (SELECT s_suppkey AS seqid, least(1050 + k, 1110) AS e FROM supplier, range(50, 70) r(k) UNION ALL SELECT s_suppkey, 1220 FROM supplier, range(50) r(k))
+SELECT seqid, CAST(e AS BIGINT) AS "end", count(*) AS n FROM t GROUP BY ALL""")
+def trim_transfrags(spark, d):
+    t = _ramps(spark, d).of("transfrag")
+    return t.groupBy(F.col("seqid").cast("long").alias("seqid"), "end").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {TX}, g AS (SELECT seqid, tx, sum(expr) AS expr FROM tx_exons GROUP BY ALL)
+SELECT seqid, tx, round(expr / max(expr) OVER w, 9) AS rel_frac, round(expr / (sum(expr) OVER w + 1e-10), 9) AS abs_frac FROM g WINDOW w AS (PARTITION BY seqid)""")
+def isoform_fractions(spark, d):
+    g = tx_exons(spark, d).groupBy("seqid", "tx").agg(F.sum("expr").alias("expr"))
+    return transcripts.fractions(g, "seqid").select("seqid", "tx", F.round("rel_frac", 9).alias("rel_frac"), F.round("abs_frac", 9).alias("abs_frac"))
