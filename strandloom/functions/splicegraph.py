@@ -71,6 +71,7 @@ class SpliceGraph:
         self.nodes = sorted({n for w in self.walks for n in w})
         self.is_start = {n for n in self.nodes if n not in into}
         self.is_stop = {n for n in self.nodes if n not in out}
+        self.is_ref = {n for t, w in zip(self.used, self.walks) if t.get("is_ref") for n in w}
         known = set(self.nodes)
         for sites, found, left in ((self.starts, self.is_start, not self.minus), (self.stops, self.is_stop, self.minus)):
             extra = (self.ref_starts if found is self.is_start else self.ref_stops) if self.guided_ends else []

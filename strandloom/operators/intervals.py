@@ -134,6 +134,13 @@ def nearest_interval(queries: DataFrame, targets: DataFrame, side: str, n: int =
     return parts[0].unionByName(parts[1])
 
 
+def bounds(df: DataFrame, group: list[str], key: str = "seqid") -> DataFrame:
+    """Start, end and the distinct strands of each group; an error if a group lies on two sequences."""
+    found = df.groupBy(*group).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("strand")).alias("strands"), F.min(key).alias("_a"), F.max(key).alias("_b"))
+    whole = F.when(F.col("_a") == F.col("_b"), F.col("start")).otherwise(F.raise_error(F.lit("a group lies on two sequences")).cast("long"))
+    return found.withColumn("start", whole).drop("_a", "_b")
+
+
 def in_order(df: DataFrame, key: str = "seqid") -> DataFrame:
     """Intervals in the order of sequence, start and end, range-partitioned."""
     order = [key, "start", "end", *[c for c in df.columns if c not in (key, "start", "end")]]

@@ -42,11 +42,14 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bed12(name: Column, score: Column) -> Column:
-    """A BED12 line of seqid, strand, start, end and sorted exons."""
+    """A BED12 line of seqid, strand, start, end and exons, which must be in order."""
+    first, last, n = F.col("exons")[0], F.element_at("exons", -1), F.size("exons")
+    ordered = F.forall(F.slice("exons", 2, n), lambda e: e["start"] > first["start"]) & F.forall(F.slice("exons", 1, n - 1), lambda e: e["end"] < last["end"])
     sizes = F.concat(F.array_join(F.transform("exons", lambda e: (e["end"] - e["start"]).cast("string")), ","), F.lit(","))
     starts = F.concat(F.array_join(F.transform("exons", lambda e: (e["start"] - F.col("start")).cast("string")), ","), F.lit(","))
     s = lambda c: F.col(c).cast("string")
-    return F.concat_ws("\t", s("seqid"), s("start"), s("end"), name, score.cast("string"), "strand", s("start"), s("start"), F.lit("0"), F.size("exons").cast("string"), sizes, starts)
+    line = F.concat_ws("\t", s("seqid"), s("start"), s("end"), name, score.cast("string"), "strand", s("start"), s("start"), F.lit("0"), F.size("exons").cast("string"), sizes, starts)
+    return F.when(ordered, line).otherwise(F.raise_error(F.lit("exons are not in order")))
 
 
 def fractions(paths: DataFrame, gene: str, expr: str = "expr") -> DataFrame:

@@ -95,6 +95,16 @@ def interval_clusters_gap(spark, d):
     return intervals.clusters(exons(spark, d), ["seqid"], 5, 2)
 
 
+@query(f"""WITH {EXONS}, a AS (SELECT *, max("end") OVER (PARTITION BY seqid ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM exons),
+b AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY seqid ORDER BY start, "end", reach NULLS FIRST ROWS UNBOUNDED PRECEDING) AS island FROM a),
+c AS (SELECT seqid, island, min(start) AS cluster FROM b GROUP BY seqid, island HAVING count(*) >= 2)
+SELECT seqid, cluster, tx, start, "end", count(*) AS n FROM b JOIN c USING (seqid, island) GROUP BY ALL""")
+def cluster_members(spark, d):
+    e = exons(spark, d).select("seqid", "tx", "start", "end")
+    spans = cut(intervals.clusters(e, ["seqid"], 5, 2).withColumn("cluster", F.col("start")), "clusters")
+    return intervals.located(e, spans, ["cluster"]).groupBy("seqid", "cluster", "tx", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
 _RUNS = """e AS (SELECT seqid, strand, start AS pos, expr AS d FROM exons UNION ALL SELECT seqid, strand, "end", -expr FROM exons),
 s AS (SELECT seqid, strand, pos, sum(d) AS d FROM e GROUP BY ALL HAVING sum(d) <> 0),
 l AS (SELECT seqid, strand, pos AS start, lead(pos) OVER w AS "end", sum(d) OVER w AS value FROM s WINDOW w AS (PARTITION BY seqid, strand ORDER BY pos)),
@@ -207,7 +217,7 @@ def splice_junction_bed(spark, d):
 
 @query(f"""WITH {EXONS} SELECT seqid, min(start) AS start, max("end") AS "end", string_agg(DISTINCT strand, '' ORDER BY strand) AS strands FROM exons GROUP BY seqid""")
 def locus_bounds(spark, d):
-    return exons(spark, d).groupBy("seqid").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.array_sort(F.collect_set("strand")), "").alias("strands"))
+    return intervals.bounds(exons(spark, d), ["seqid"]).withColumn("strands", F.array_join("strands", ""))
 
 
 _PLAIN = """p AS (SELECT seqid, start AS pos, 1 AS d FROM tx_exons UNION ALL SELECT seqid, "end", -1 FROM tx_exons), ps AS (SELECT seqid, pos, sum(d) AS d FROM p GROUP BY ALL),
@@ -389,16 +399,16 @@ def cusum(spark, d):
     return signals.cusum(_daily(spark, d), ["key"]).select("key", "range", "first_pos", "peak_pos")
 
 
-_PATHS = "paths AS (SELECT seqid, tx, list(seqid * 100000 + node_start ORDER BY node_start) AS path, sum(DISTINCT tx) * 0 + 1 AS expr FROM hits GROUP BY seqid, tx)"
+_PATHS = "paths AS (SELECT seqid, tx, list(seqid * 100000 + node_start ORDER BY node_start) AS path, any_value(tx) % 7 + 1 AS expr FROM hits GROUP BY seqid, tx)"
 
 
 def _paths(spark, d):
     h = _hits(spark, d).withColumn("node", F.col("seqid") * 100000 + F.col("node_start"))
-    return h.groupBy("seqid", "tx").agg(F.array_sort(F.collect_set("node")).alias("path")).withColumn("expr", F.lit(1).cast("long"))
+    return h.groupBy("seqid", "tx").agg(F.array_sort(F.collect_set("node")).alias("path")).withColumn("expr", F.col("tx") % 7 + 1)
 
 
-@query(f"""WITH {TX}, {_NODES}, {_HITS}, {_PATHS}, k AS (SELECT seqid, len(path) AS n, path, unnest(range(greatest(len(path) - 1, 0))) AS i FROM paths)
-SELECT path[i + 1] || '-' || path[i + 2] AS kmer, count(*) AS expr, count(*) FILTER (i = 0) AS smooth_rev, count(*) FILTER (i = n - 2) AS smooth_fwd FROM k GROUP BY 1""")
+@query(f"""WITH {TX}, {_NODES}, {_HITS}, {_PATHS}, k AS (SELECT seqid, len(path) AS n, path, expr, unnest(range(greatest(len(path) - 1, 0))) AS i FROM paths)
+SELECT path[i + 1] || '-' || path[i + 2] AS kmer, CAST(sum(expr) AS BIGINT) AS expr, CAST(sum(CASE WHEN i = 0 THEN expr ELSE 0 END) AS BIGINT) AS smooth_rev, CAST(sum(CASE WHEN i = n - 2 THEN expr ELSE 0 END) AS BIGINT) AS smooth_fwd FROM k GROUP BY 1""")
 def kmer_expr(spark, d):
     rows = splice.kmers(_paths(spark, d), 2).withColumn("kmer", F.array_join(F.col("kmer").cast("array<string>"), "-"))
     return splice.kmer_expression(rows, [])
@@ -410,9 +420,9 @@ def kmer_table(spark, d):
     return splice.kmers(_paths(spark, d), 3).select("seqid", "tx", "at", F.array_join(F.col("kmer").cast("array<string>"), "-").alias("kmer"))
 
 
-@query(f"""WITH {TX}, {_NODES}, {_HITS}, {_PATHS}, ke AS (SELECT seqid, [path[i + 1], path[i + 2], path[i + 3]] AS kmer, count(*) AS expr FROM (SELECT seqid, path, unnest(range(greatest(len(path) - 2, 0))) AS i FROM paths) GROUP BY ALL),
+@query(f"""WITH {TX}, {_NODES}, {_HITS}, {_PATHS}, ke AS (SELECT seqid, [path[i + 1], path[i + 2], path[i + 3]] AS kmer, sum(expr) AS expr FROM (SELECT seqid, path, expr, unnest(range(greatest(len(path) - 2, 0))) AS i FROM paths) GROUP BY ALL),
 parts AS (SELECT DISTINCT seqid, kmer, expr, part FROM (SELECT seqid, kmer, expr, unnest([[kmer[1]], [kmer[2]], [kmer[3]], [kmer[1], kmer[2]], [kmer[2], kmer[3]]]) AS part FROM ke)),
-short AS (SELECT seqid, tx, path FROM paths WHERE len(path) < 3), hit AS (SELECT s.seqid, s.tx, p.kmer, p.expr / sum(p.expr) OVER (PARTITION BY s.seqid, s.tx) AS gain FROM short s JOIN parts p ON p.seqid = s.seqid AND p.part = s.path)
+short AS (SELECT seqid, tx, path, expr FROM paths WHERE len(path) < 3), hit AS (SELECT s.seqid, s.tx, p.kmer, s.expr * p.expr / sum(p.expr) OVER (PARTITION BY s.seqid, s.tx) AS gain FROM short s JOIN parts p ON p.seqid = s.seqid AND p.part = s.path)
 SELECT seqid, array_to_string(kmer, '-') AS kmer, round(sum(gain), 8) AS gain FROM hit GROUP BY ALL""")
 def short_path_rescue(spark, d):
     p = cut(_paths(spark, d), "paths")

@@ -217,6 +217,22 @@ def test_ramps_are_found_and_trimmed(minus, falls):
         graph.coverage(0, 10)
 
 
+def test_smoothed_kernel_is_one_longer_and_late():
+    x = np.arange(30.0)
+    y = changepoints.smooth(x)
+    assert len(y) == 31 and np.allclose(y[6:25], x[5:24])
+
+
+def test_lines_and_bounds_refuse_what_is_broken(spark):
+    t = spark.createDataFrame([("s", "+", 0, 9, [(5, 9), (0, 3)])], "seqid string, strand string, start long, end long, exons array<struct<start:long,end:long>>")
+    with pytest.raises(Exception, match="not in order"):
+        t.select(transcripts.bed12(F.lit("n"), F.lit("0"))).collect()
+    two = spark.createDataFrame([(1, "a", "+", 0, 5), (1, "b", "-", 3, 9)], "g long, seqid string, strand string, start long, end long")
+    assert rows(intervals.bounds(two.where("seqid = 'a'"), ["g"]), "start", "end", "strands") == [(0, 5, ["+"])]
+    with pytest.raises(Exception, match="two sequences"):
+        intervals.bounds(two, ["g"]).collect()
+
+
 def test_rank_test_is_two_sided():
     u, p = changepoints.rank_test(np.arange(1.0, 6), np.arange(6.0, 11))
     assert (u, round(p, 4)) == (0.0, 0.0122)
@@ -308,6 +324,8 @@ def test_a_run_from_files_to_outputs(spark, tmp_path):
     assert third == ['chr1\tstrandloom\ttranscript\t1\t900\t91\t+\t.\texpr "1.000"; rel_frac "0.09091"; abs_frac "0.05556"; locus_id "L1"; gene_id "G1"; tss_id "TSS1"; transcript_id "TU3";']
     assert "chr1\t99\t201\tJUNC\t12.0\t+\t99\t201\t255,0,0\t2\t1,1\t0,101" in out("splice_junctions.bed") and len(out("transfrags_filtered.gtf")) == 3
     assert any("G1|TU1(11.0)\t1000\t+" in x for x in out("assembly.bed"))
+    assert ("+", "chr1\t0\t100\t18.000000") in rows(spark.read.text(f"{tmp_path}/out/bedgraph"), "strand", "value")
+    assert any("\tnode\t" in x and 'expr_max "18.0"' in x for x in out("splice_graph.gtf")) and any(x.startswith("chr1\t0\t900\t+\t2\t5\t4\t6\t") for x in out("path_graph_stats.tsv"))
     assert run.status == dict.fromkeys(assembly.STAGES, True)
     again = assembly.Run(spark, f"{tmp_path}/out", resume=True)
     assert again.options == run.options and again.run(manifest).count() == 4
