@@ -92,9 +92,10 @@ def strand_evidence(exons: DataFrame, keys: list[str]) -> DataFrame:
 def impute_strands(exons: DataFrame, keys: list[str]) -> DataFrame:
     """Give unstranded transcripts the only strand they overlap, round by round, to a fixpoint."""
     now = cut(exons, "strands")
-    while True:
+    while not now.where("strand = '.'").isEmpty():
         seen = strand_evidence(now, keys).where("plus <> minus").select(*keys, F.when(F.col("plus"), "+").otherwise("-").alias("_s"))
         seen = cut(seen, "decided")
         if seen.isEmpty():
-            return now
+            break
         now = cut(now.join(seen, keys, "left").withColumn("strand", F.coalesce("_s", "strand")).drop("_s"), "strands")
+    return now

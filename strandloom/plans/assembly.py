@@ -189,21 +189,23 @@ def assembled(t: DataFrame, options: Options = Options()) -> Assembly:
 def assigned(isoforms: DataFrame) -> DataFrame:
     """Isoforms with locus_id, gene_id, tss_id and transcript_id.
 
-    Ids count loci, genes, starts of transcription in a gene and transcripts in the order of the genome.
+    Ids count loci, genes, starts of transcription in a gene and transcripts in the order of the genome:
+    numbers inside a sequence, shifted by what the sequences before it hold.
     """
     tss = F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start"))
-    rows = isoforms.select("seqid", "strand", "locus", "graph_start", "gene", "rank", "start", "end", "exons", "expr", "rel_frac", "abs_frac", tss.alias("tss"))
-    gene = ["seqid", "locus", "strand", "graph_start", "gene"]
-    sites = [*gene, "tss"]
-    for table, on, order, name, prefix in (
-        (rows.select("seqid", "locus").distinct(), ["seqid", "locus"], ["locus"], "locus_id", "L"),
-        (rows.select(*gene).distinct(), gene, gene[1:], "gene_id", "G"),
-        (rows.groupBy(*sites).agg(F.min("rank").alias("first")), sites, [*gene[1:], "first"], "tss_id", "TSS"),
-    ):
-        named = intervals.numbered(table, order, "_k").select(*on, F.concat(F.lit(prefix), F.col("_k").cast("string")).alias(name))
-        rows = rows.join(named, on)
-    rows = intervals.numbered(rows, [*gene[1:], "rank"], "_k")
-    return rows.withColumn("transcript_id", F.concat(F.lit("TU"), F.col("_k").cast("string"))).drop("_k", "tss")
+    rows = isoforms.select("seqid", "strand", "locus", "graph_start", "gene", "rank", "start", "end", "exons", "expr", "rel_frac", "abs_frac", tss.alias("_tss"))
+    gene = ["locus", "strand", "graph_start", "gene"]
+    inside = Window.partitionBy("seqid")
+    rows = rows.withColumn("_first", F.min("rank").over(Window.partitionBy("seqid", *gene, "_tss")))
+    ids = {"locus_id": ("L", ["locus"]), "gene_id": ("G", gene), "tss_id": ("TSS", [*gene, "_first"]), "transcript_id": ("TU", [*gene, "rank"])}
+    for name, (_, order) in ids.items():
+        rows = rows.withColumn(name, F.dense_rank().over(inside.orderBy(*order)))
+    rows = cut(rows.drop("_tss", "_first"), "numbered")
+    before = Window.orderBy("seqid").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy("seqid").agg(*[F.max(n).alias(n) for n in ids])
+    shifts = held.select("seqid", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in ids])
+    numbered = {n: F.concat(F.lit(prefix), (F.col(n) + F.col(f"_{n}")).cast("string")) for n, (prefix, _) in ids.items()}
+    return rows.join(shifts, "seqid").withColumns(numbered).drop(*[f"_{n}" for n in ids])
 
 
 def _score() -> Column:
