@@ -178,15 +178,15 @@ def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
     real = left.select(F.col("canon").alias("surrogate"))
     done, attempt = None, 0
     while True:
-        drawn = with_surrogates(left, key, attempt)
+        drawn = cut(with_surrogates(left, key, attempt), "drawn")
         first = drawn.groupBy("surrogate").agg(F.min("canon").alias("_first"))
         taken = real if done is None else real.unionByName(done.select("surrogate"))
         first = first.join(taken, "surrogate", "left_anti")
         settled = drawn.join(first, "surrogate", "left")
-        drawn = cut(settled.select("type", "canon", "gender", "surrogate", F.coalesce(F.col("_first") == F.col("canon"), F.lit(False)).alias("ok")), "drawn")
-        won = drawn.where("ok").select("type", "canon", "surrogate")
+        settled = cut(settled.select("type", "canon", "gender", "surrogate", F.coalesce(F.col("_first") == F.col("canon"), F.lit(False)).alias("ok")), "settled")
+        won = settled.where("ok").select("type", "canon", "surrogate")
         done = won if done is None else done.unionByName(won)
-        left = drawn.where("NOT ok").select("type", "canon", "gender")
+        left = settled.where("NOT ok").select("type", "canon", "gender")
         if left.isEmpty():
             return done
         attempt += 1
