@@ -247,7 +247,11 @@ def widest_paths(g: KmerGraph, path_frac: float = 0.0, max_paths: int = 0) -> li
 
 def exons_of(path: list[int], g: KmerGraph, minus: bool) -> list[tuple[int, int]]:
     """Exons of a k-mer path: its nodes in genome order, neighbours that touch joined."""
-    nodes = list(g.names[path[1]]) + [g.names[n][-1] for n in path[2:-1]]
+    return joined(list(g.names[path[1]]) + [g.names[n][-1] for n in path[2:-1]], minus)
+
+
+def joined(nodes: list[tuple[int, int]], minus: bool) -> list[tuple[int, int]]:
+    """Nodes in order of transcription as exons in genome order, neighbours that touch as one."""
     merged: list[tuple[int, int]] = []
     for start, end in reversed(nodes) if minus else nodes:
         if merged and merged[-1][1] == start:
@@ -285,6 +289,14 @@ def gene_clusters(paths: list[tuple[tuple, float]], min_frac: float = 0.0) -> tu
     return genes, dropped
 
 
+def lone(paths: list[tuple[tuple, float, bool, bool]], minus: bool) -> list[dict] | None:
+    """The isoform of a graph that is a single path: the path itself, whatever k is chosen."""
+    if len(paths) != 1 or paths[0][1] < SMALLEST:
+        return None
+    (nodes, expr, _, _), *_ = paths
+    return [{"gene": 0, "rank": 0, "exons": joined(list(nodes), minus), "expr": expr, "rel_frac": 1.0, "abs_frac": expr / (SMALLEST + expr)}]
+
+
 def assemble(paths: list[tuple[tuple, float, bool, bool]], minus: bool, isoform_frac: float = 0.05, max_isoforms: int = 0, kmax: int = 0, path_frac: float = 0.0, max_paths: int = 0, loss_threshold: float | None = None) -> tuple[list[dict], list[dict]]:
     """Isoforms of the paths of one splice graph, whose nodes are intervals; the rows of the choice of k."""
     _, tried, g = choose_k(paths, kmax, loss_threshold)

@@ -94,10 +94,13 @@ def placed(t: DataFrame) -> DataFrame:
 def by_graph(t: DataFrame) -> DataFrame:
     """A row for each locus and strand: its transfrags in order of id.
 
-    A row is what a kernel must see whole; many rows travel in one Arrow batch.
+    A row is what a kernel must see whole; many rows travel in one Arrow batch.  The number of
+    partitions is given, because a kernel's work is not in proportion to its bytes: adaptive execution
+    would put small rows of much work together.
     """
     member = F.struct("tx", "expr", "is_ref", "exons")
-    return t.groupBy("seqid", "strand", "locus").agg(F.array_sort(F.collect_list(member)).alias("t"))
+    partitions = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return t.repartition(partitions, "seqid", "strand", "locus").groupBy("seqid", "strand", "locus").agg(F.array_sort(F.collect_list(member)).alias("t"))
 
 
 #: Nodes before change points, change points, transfrags as trimmed by them, tried ks, isoforms.
@@ -120,7 +123,9 @@ def graph_rows(graph: SpliceGraph, options: Options, kinds: tuple[str, ...] = KI
         rows.append({"kind": "transfrag", **place, "exons": exons, "start": exons[0]["start"], "end": exons[-1]["end"], "expr": t["expr"]})
     if not {"k", "isoform"} & set(kinds):
         return rows
-    found, tried = paths.assemble(graph.paths(), graph.minus, o.isoform_frac, o.max_isoforms, o.path_kmax, o.path_frac, o.max_paths, o.path_graph_loss_threshold if o.limit_loss else None)
+    walks = graph.paths()
+    alone = paths.lone(walks, graph.minus) if "k" not in kinds else None
+    found, tried = (alone, []) if alone else paths.assemble(walks, graph.minus, o.isoform_frac, o.max_isoforms, o.path_kmax, o.path_frac, o.max_paths, o.path_graph_loss_threshold if o.limit_loss else None)
     rows += [{"kind": "k", **place, **r} for r in tried] if "k" in kinds else []
     for r in found if "isoform" in kinds else ():
         exons = [{"start": a, "end": b} for a, b in r["exons"]]

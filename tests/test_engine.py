@@ -51,6 +51,15 @@ def test_widest_paths_of_path1():
     assert paths.choose_k(walks)[0] == 2
 
 
+@pytest.mark.parametrize("minus", [False, True])
+def test_a_lone_path_is_its_own_isoform(minus):
+    for exons in ([(0, 10)], [(0, 10), (20, 30), (50, 55)]):
+        walks = SpliceGraph([{"exons": exons, "expr": 3.0}], minus).paths()
+        slow, _ = paths.assemble(walks, minus)
+        assert [{**r, "exons": list(r["exons"])} for r in slow] == paths.lone(walks, minus)
+    assert paths.lone([(((0, 1),), 0.0, True, True)], minus) is None
+
+
 def test_disjoint_genes_are_separate_graphs(spark):
     found = []
     for gene, scale in ((0, 1000.0), (20000, 1.0)):
