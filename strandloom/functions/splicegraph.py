@@ -95,10 +95,16 @@ class SpliceGraph:
                         step[0] += sign
                         step[1] += sign * t["expr"]
         self.steps = sorted(at)
-        count = np.cumsum([at[p][0] for p in self.steps]) if at else np.zeros(0, int)
-        self.level = np.where(count > 0, np.cumsum([at[p][1] for p in self.steps]) if at else 0.0, 0.0)
-        before = np.concatenate([[0], count[:-1]]) if len(count) else count
-        self._zero = {p for p, a, b in zip(self.steps, before, count) if (a == 0) != (b == 0)}
+        self.level: list[float] = []
+        self._zero: set[int] = set()
+        count, total = 0, 0.0
+        for pos in self.steps:
+            before, (more, change) = count, at[pos]
+            count += more
+            total = total + change if count else 0.0
+            self.level.append(total)
+            if (before == 0) != (count == 0):
+                self._zero.add(pos)
 
     def runs(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Levels of summed expression in [start, end), which must lie in the graph, and their lengths."""
