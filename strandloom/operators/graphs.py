@@ -40,13 +40,17 @@ def is_valid(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): weakly connected components named by their least node."""
+    """(node, component): weakly connected components named by their least node.
+
+    Labels are as many as nodes, but their Parquet files are small, by which a join would take them for
+    tables to broadcast from the driver; so every join here is told to be one of sorted partitions.
+    """
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least("node", F.min("dst")).alias("component")), "labels")
     while True:
-        low = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
+        low = both.join(labels.select(F.col("node").alias("dst"), "component").hint("merge"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("further"))
-        near = labels.join(low, "node").withColumn("low", F.least("low", "component")).join(jump, "low", "left")
+        near = labels.join(low.hint("merge"), "node").withColumn("low", F.least("low", "component")).join(jump.hint("merge"), "low", "left")
         moved = cut(near.select("node", F.coalesce(F.least("low", "further"), "low").alias("component"), F.col("component").alias("was")), "labels")
         labels = moved.select("node", "component")
         if moved.where("component <> was").isEmpty():
