@@ -83,11 +83,12 @@ OF = {
 def placed(t: DataFrame) -> DataFrame:
     """Transfrags with ``locus``, the first base of the run of overlapping transfrags they are in.
 
-    Runs are of a sequence, over all strands; a transfrag is in the run that holds its start.
+    Runs are of a sequence, over all strands; a transfrag is in the run that holds its start.  Runs may be
+    as many as genes, too many to broadcast.
     """
     runs = intervals.merge_islands(t, ["seqid"]).withColumn("locus", F.col("start"))
     at = t.select("*", F.struct("start", "end").alias("_whole")).withColumn("end", F.col("start") + 1)
-    hit = intervals.overlap_join(at, runs).withColumn("start", F.col("_whole.start")).withColumn("end", F.col("_whole.end"))
+    hit = intervals.overlap_join(at, runs.hint("merge")).withColumn("start", F.col("_whole.start")).withColumn("end", F.col("_whole.end"))
     return hit.select(*t.columns, F.col("r_locus").alias("locus"))
 
 
@@ -195,7 +196,8 @@ def assigned(isoforms: DataFrame) -> DataFrame:
     """Isoforms with locus_id, gene_id, tss_id and transcript_id.
 
     Ids count loci, genes, starts of transcription in a gene and transcripts in the order of the genome:
-    numbers inside a sequence, shifted by what the sequences before it hold.
+    numbers inside a sequence, shifted by what the sequences before it hold.  Sequences may be as many as
+    genes, too many to broadcast what they hold.
     """
     tss = F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start"))
     rows = isoforms.select("seqid", "strand", "locus", "graph_start", "gene", "rank", "start", "end", "exons", "expr", "rel_frac", "abs_frac", tss.alias("_tss"))
@@ -210,7 +212,7 @@ def assigned(isoforms: DataFrame) -> DataFrame:
     held = rows.groupBy("seqid").agg(*[F.max(n).alias(n) for n in ids])
     shifts = held.select("seqid", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in ids])
     numbered = {n: F.concat(F.lit(prefix), (F.col(n) + F.col(f"_{n}")).cast("string")) for n, (prefix, _) in ids.items()}
-    return rows.join(shifts, "seqid").withColumns(numbered).drop(*[f"_{n}" for n in ids])
+    return rows.join(shifts.hint("merge"), "seqid").withColumns(numbered).drop(*[f"_{n}" for n in ids])
 
 
 def _score() -> Column:

@@ -641,6 +641,8 @@ def gene_lines(spark, d):
         spans = [(BLOCKS[0][0], BLOCKS[-1][1])] + [BLOCKS[b] for b in chain]
         for k, (start, end) in enumerate(spans):
             rows.append(F.struct(F.lit("exon" if k else "transcript").alias("feature"), F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(expr).alias("e")))
+    # A small file of parts makes many lines; by a given number of partitions they are made and parsed by many tasks.
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seqid")
     r = p.select("*", F.explode(F.array(*rows)).alias("r")).select("*", "r.*").withColumn("score", F.lit("."))
     head = F.when(F.col("feature") == "transcript", F.col("e") * F.col("size"))
     line = text.gtf_line([("transcript_id", F.concat_ws(".", F.col("seqid").cast("string"), F.col("n").cast("string"))), ("FPKM", head)])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..durable import cut
 from .text import LINE, gtf_row, parse_gtf, read_lines
 
 REFERENCE = "R"
@@ -32,12 +33,16 @@ def sample_features(spark: SparkSession, manifest: DataFrame, reference: str | N
 
 
 def numbered_in(df: DataFrame, group: list[str], block: str, order: list[str], name: str) -> DataFrame:
-    """Positions 1..n in each group, in the order (block, order), without a window over a whole group."""
+    """Positions 1..n in each group, in the order (block, order), without a window over a whole group.
+
+    Blocks may be as many as rows, so their shifts are no table to broadcast; rows are dealt by (group,
+    block) for their ranks anyway, and a join of sorted partitions takes them as they lie.
+    """
     counts = df.groupBy(*group, block).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(*group, block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     rank = F.row_number().over(Window.partitionBy(*group, block).orderBy(*order))
-    return df.withColumn("_rank", rank).join(shift, [*group, block]).withColumn(name, F.col("_rank") + F.col("_shift")).drop("_rank", "_shift")
+    return df.withColumn("_rank", rank).join(shift.hint("merge"), [*group, block]).withColumn(name, F.col("_rank") + F.col("_shift")).drop("_rank", "_shift")
 
 
 def aggregated(features: DataFrame, expr_attr: str = "FPKM", order: list[str] = LINE) -> DataFrame:
@@ -46,20 +51,26 @@ def aggregated(features: DataFrame, expr_attr: str = "FPKM", order: list[str] =
     Columns: seqid, feature, start, end, strand, tx, sample_id, is_ref, expr, and ``problem``: null, or
     what is wrong with the row (an id that is not unique, an exon without a transcript, a missing id or
     expression).  A reference's expression is 0.
+
+    What is needed of the features is written once, so that lines are parsed once and not for each use of
+    them.  Ids are as many as transcripts, too many to broadcast, whatever a planner that does not know how
+    many lines come of a file takes them for.
     """
-    kept = features.where(F.col("feature").isin("transcript", "exon")).withColumn("old", F.try_element_at("attrs", F.lit("transcript_id")))
+    attr = lambda k: F.try_element_at("attrs", F.lit(k))
+    kept = features.where(F.col("feature").isin("transcript", "exon")).select("seqid", "feature", "start", "end", "strand", "sample_id", "is_ref", *order[-2:], attr("transcript_id").alias("old"), attr(expr_attr).try_cast("double").alias("expr"))
+    kept = cut(kept, "kept")
     block, place = order[-2:]
     heads = kept.where("feature = 'transcript'")
     heads = numbered_in(heads, ["sample_id"], block, [place], "n") if len(order) > 1 else heads
-    expr = F.when(F.col("is_ref"), F.lit(0.0)).otherwise(F.try_element_at("attrs", F.lit(expr_attr)).try_cast("double"))
+    expr = F.when(F.col("is_ref"), F.lit(0.0)).otherwise(F.col("expr"))
     heads = heads.select("seqid", "feature", "start", "end", "strand", F.concat_ws(".T", "sample_id", F.col("n").cast("string")).alias("tx"), "sample_id", "is_ref", expr.alias("expr"), "old", "n")
     ids = heads.where("old IS NOT NULL").groupBy("sample_id", "old").agg(F.min(F.struct("n", "tx"))["tx"].alias("tx"), F.count(F.lit(1)).alias("times"))
-    heads = heads.join(ids.select("sample_id", "old", "times"), ["sample_id", "old"], "left")
+    heads = heads.join(ids.select("sample_id", "old", "times").hint("merge"), ["sample_id", "old"], "left")
     problem = F.when(F.col("old").isNull(), "no transcript_id").when(F.col("times") > 1, "transcript_id is not unique").when(F.col("expr").isNull(), "no expression")
     columns = ["seqid", "feature", "start", "end", "strand", "tx", "sample_id", "is_ref", "expr", "problem"]
     heads = heads.withColumn("problem", problem).select(columns)
     exons = kept.where("feature = 'exon'").select("seqid", "feature", "start", "end", "strand", "sample_id", "is_ref", "old", F.lit(None).cast("double").alias("expr"))
-    exons = exons.join(ids, ["sample_id", "old"], "left")
+    exons = exons.join(ids.hint("merge"), ["sample_id", "old"], "left")
     exons = exons.withColumn("problem", F.when(F.col("tx").isNull(), "exon without a transcript")).select(columns)
     return heads.unionByName(exons)
 

@@ -3,11 +3,15 @@
 import pytest
 from pyspark.sql import DataFrame
 
+import __spark_entry__ as entry
 from strandloom import queries
 from strandloom.operators import graphs, splice
 from strandloom.plans import assembly
 from strandloom.sources import ingest
 
+SMALL = "/root/testdata/sf0.001"
+
+
 def plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -27,3 +31,10 @@ def test_labels_of_components_are_not_broadcast(spark, plans):
     got = sorted(tuple(r) for r in graphs.components(edges).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7)]
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["assembly_bed"])
+def test_an_assembly_broadcasts_nothing_by_part(spark, plans, name):
+    found = entry.queries()[name](spark, SMALL)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in [*plans, plan(found)])
+    assert not found.isEmpty()
