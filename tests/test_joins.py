@@ -33,7 +33,7 @@ def test_labels_of_components_are_not_broadcast(spark, plans):
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
-@pytest.mark.parametrize("name", ["assembly_bed", "assembly_gtf", "assign_ids", "optimal_k"])
+@pytest.mark.parametrize("name", ["assembly_bed", "assembly_gtf", "assign_ids", "optimal_k", "splice_graph_gtf"])
 def test_an_assembly_broadcasts_nothing_by_part(spark, plans, name):
     found = entry.queries()[name](spark, SMALL)
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in [*plans, plan(found)])
