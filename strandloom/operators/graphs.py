@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..durable import cut
 
@@ -39,12 +41,67 @@ def is_valid(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> bool:
     return not reachable(edges, sources).join(sinks, "node", "left_semi").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, chunk: int = 1 << 19) -> DataFrame:
     """(node, component): weakly connected components named by their least node.
 
+    Edges are dealt out by ranges of their nodes, and a kernel settles each run of ``chunk`` edges by itself,
+    whatever it holds.  A node that several runs have seen links their components; only these links, few where
+    neighbours have near ids, go through rounds over whole tables.  An edge with a null end links nothing.
+
     Labels are as many as nodes, but their Parquet files are small, by which a join would take them for
     tables to broadcast from the driver; so every join here is told to be one of sorted partitions.
     """
+    ends = edges.select("src").union(edges.select("dst")).schema[0].dataType
+    pairs = cut(edges.select(F.col("src").cast(ends).alias("src"), F.col("dst").cast(ends).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL"), "edges")
+    w = Window.partitionBy("node").orderBy("root")
+    seen = cut(_settled(pairs.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst"), chunk).withColumn("was", F.lag("root").over(w)), "seen")
+    links = seen.where("was IS NOT NULL").select(F.col("was").alias("src"), F.col("root").alias("dst"))
+    labels = seen.where("was IS NULL").select("node", F.col("root").alias("_root"))
+    names = _labelled(links).select(F.col("node").alias("_root"), "component")
+    return labels.join(names.hint("merge"), "_root", "left").select("node", F.coalesce("component", "_root").alias("component"))
+
+
+def _settled(pairs: DataFrame, chunk: int) -> DataFrame:
+    """(node, root): the nodes of each run of ``chunk`` edges, with the least node they are connected to by the run's edges."""
+
+    def roots(src, dst):
+        names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        a, b = np.split(at.reshape(-1), 2)
+        root = np.arange(len(names))
+        while len(a):
+            x, y = root[a], root[b]
+            low = np.minimum(x, y)
+            np.minimum.at(root, x, low)
+            np.minimum.at(root, y, low)
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+        return names, names[root]
+
+    def run(batches):
+        held, n = [], 0
+
+        def found():
+            table = pa.Table.from_batches(held)
+            made = roots(*(c.to_numpy() for c in table.columns))
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, table.schema)], names=["node", "root"])
+
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= chunk:
+                yield found()
+                held, n = [], 0
+        if n:
+            yield found()
+
+    kind = pairs.schema["src"].dataType
+    return pairs.mapInArrow(run, StructType([StructField("node", kind), StructField("root", kind)]))
+
+
+def _labelled(edges: DataFrame) -> DataFrame:
+    """(node, component) by rounds in which nodes take the least label of their neighbours and of their label."""
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least("node", F.min("dst")).alias("component")), "labels")
     while True:

@@ -15,7 +15,10 @@ def boundaries(exons: DataFrame, keys: list[str], seq: str = "seqid", tile: int
     Exons are written once and read by the three branches; all of coverage that counts here is where
     the merged exons begin and end.
     """
-    exons = cut(exons.select(*dict.fromkeys([*keys, seq, "start", "end", *({"expr"} & set(exons.columns))])), "exons")
+    return _ends(cut(exons.select(*dict.fromkeys([*keys, seq, "start", "end", *({"expr"} & set(exons.columns))])), "exons"), keys, seq, tile)
+
+
+def _ends(exons: DataFrame, keys: list[str], seq: str = "seqid", tile: int = 4096) -> DataFrame:
     covered = merge_islands(exons.where("expr > 0") if "expr" in exons.columns else exons, [seq], closed=True, tile=tile)
     outer = exons.groupBy(seq).agg(F.min("start").alias("start"), F.max("end").alias("end"))
     sites = coverage.introns(exons, keys).select(seq, "start", "end")
@@ -35,6 +38,12 @@ def split_transfrags(exons: DataFrame, node: DataFrame) -> DataFrame:
     return hits.withColumnsRenamed({"r_start": "node_start", "r_end": "node_end"}).drop("r_seqid")
 
 
+def on_nodes(exons: DataFrame, keys: list[str]) -> DataFrame:
+    """``split_transfrags`` by the nodes of the exons' own boundaries; exons are made and written once for both."""
+    exons = cut(exons, "exons")
+    return split_transfrags(exons, nodes(_ends(exons, keys)))
+
+
 def splice_sites(exons: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct ends of introns."""
     return coverage.introns(exons, keys).select("seqid", F.explode(F.array("start", "end")).alias("pos")).distinct()

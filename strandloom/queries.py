@@ -243,8 +243,7 @@ def split_transfrags(spark, d):
 
 
 def _hits(spark, d):
-    x = tx_exons(spark, d)
-    return splice.split_transfrags(x, splice.nodes(splice.boundaries(x, ["seqid", "tx"])))
+    return splice.on_nodes(tx_exons(spark, d), ["seqid", "tx"])
 
 
 def _edges(spark, d):
@@ -284,7 +283,7 @@ def _splice_edges(spark, d):
 @query(f"""WITH RECURSIVE {TX}, {_NODES}, {_HITS}, {_EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r(node, reach) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.reach)
 SELECT node, min(reach) AS component FROM r GROUP BY node""")
 def weak_components(spark, d):
-    return graphs.components(_splice_edges(spark, d))
+    return graphs.components(_edges(spark, d))
 
 
 @query(f"""WITH RECURSIVE {TX}, {_NODES}, {_HITS}, {_EDGES}, r(node, hops) AS (SELECT DISTINCT src, 0 FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, r.hops + 1 FROM r JOIN edges e ON e.src = r.node)
